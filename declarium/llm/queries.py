@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup
+from . import chat_format, exact_dedup, mixing, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,7 +77,22 @@ SELECT conv_id,
 FROM ordered GROUP BY conv_id
 """
 
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.verdicts(_table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), *quality.MEASURES, "base_failed", "kept", "n_removed_words")
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(_table(spark, sf_dir, "documents"))
+    out = out.withColumn("taken", F.col("copies") * F.col("size")).withColumn("k", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
+    return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_quality_rules": op4_quality_rules,
+    "op7_mixing": op7_mixing,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_chat_format": op10_chat_format,
 }

@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import ship
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; only where that is unset (as in
@@ -32,3 +34,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def new_folder(spark: SparkSession, kind: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+
+
+def map_arrow(df: DataFrame, function, schema) -> DataFrame:
+    """``df.mapInArrow`` with the package on the workers."""
+    ship(df.sparkSession)
+    return df.mapInArrow(function, schema)
