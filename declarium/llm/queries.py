@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, mixing, packing, quality, simhash
+from . import chat_format, exact_dedup, mixing, packing, quality, simhash, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -105,12 +105,38 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.deduplicate(_table(spark, sf_dir, "documents"), digest=True).withColumnRenamed("id", "doc_id")
+
+
+OP8_SQL = """
+WITH words AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), windows AS (
+    SELECT doc_id, i, list_slice(w, i, i + 19) AS win FROM words, LATERAL (SELECT unnest(range(1, len(w) - 18)) AS i)
+), later AS (
+    SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY win ORDER BY doc_id, i) AS k FROM windows) WHERE k > 1
+), gone AS (
+    SELECT DISTINCT doc_id, i + d AS p FROM later, range(0, 20) AS r (d)
+), each AS (
+    SELECT doc_id, p, w[p] AS word FROM words, LATERAL (SELECT unnest(range(1, len(w) + 1)) AS p)
+), marked AS (
+    SELECT e.doc_id, e.p, e.word, g.p IS NOT NULL AS out FROM each e LEFT JOIN gone g ON e.doc_id = g.doc_id AND e.p = g.p
+), summed AS (
+    SELECT doc_id, count(*) FILTER (out) AS n_removed, string_agg(word, ' ' ORDER BY p) FILTER (NOT out) AS kept FROM marked GROUP BY doc_id
+)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(s.n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(s.kept, '')) AS kept_sha256
+FROM words d LEFT JOIN summed s ON d.doc_id = s.doc_id
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": op4_quality_rules,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op7_mixing": op7_mixing,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_chat_format": op10_chat_format,
 }
-ORACLES: dict[str, str] = {"op9_exact_dedup": OP9_SQL, "op10_chat_format": OP10_SQL}
+ORACLES: dict[str, str] = {"op8_substring_dedup": OP8_SQL, "op9_exact_dedup": OP9_SQL, "op10_chat_format": OP10_SQL}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,10 +26,51 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _shuffles_dropped(spark: SparkSession):
+    """Inside, a finished job's shuffle files go: its result is kept elsewhere."""
+    before = spark.conf.get(_CLEANUP, None)
+    if before is not None:
+        spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is not None:
+            spark.conf.set(_CLEANUP, before)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and cut its lineage."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with _shuffles_dropped(df.sparkSession):
+        return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame, kind: str) -> DataFrame:
+    """As ``checkpointed``, for wide or many rows: a Parquet table in the shared
+    folder, which stays there until the session's end."""
+    spark, folder = df.sparkSession, new_folder(df.sparkSession, kind)
+    with _shuffles_dropped(spark):
+        df.write.parquet(folder)
+    _written.append((spark.sparkContext.applicationId, folder))
+    return spark.read.schema(df.schema).parquet(folder)
+
+
+_written: list[tuple[str, str]] = []
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete the tables of ``written``; results that still read them are lost."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for app, folder in _written:
+        if app == spark.sparkContext.applicationId:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+    _written.clear()
 
 
 def new_folder(spark: SparkSession, kind: str) -> str:
