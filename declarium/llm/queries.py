@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, language_id, mixing, packing, quality, simhash, substring_dedup
+from . import chat_format, exact_dedup, language_id, line_dedup, mixing, packing, quality, simhash, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,6 +84,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), *quality.MEASURES, "base_failed", "kept", "n_removed_words")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.deduplicate(_table(spark, sf_dir, "documents"), digest=True).withColumnRenamed("id", "doc_id")
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     held_out = lambda c: F.pmod(F.crc32(F.col(c).cast("string")), F.lit(3)) == 1
@@ -139,6 +143,7 @@ FROM words d LEFT JOIN summed s ON d.doc_id = s.doc_id
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_language_id": op2_language_id,
     "op4_quality_rules": op4_quality_rules,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
