@@ -28,11 +28,10 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that with the smallest id.
-
-    As in every stage on word shingles of the pipeline, a shingle has five words;
-    fingerprints link at 3 differing bits or fewer of 64."""
-    return simhash.apply(docs, width=5)
+    """One document of each group of near-duplicates, that with the smallest id; the
+    operator's contract holds: shingles of three words, and fingerprints that
+    differ in at most 3 of 64 bits link."""
+    return simhash.apply(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
