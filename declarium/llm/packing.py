@@ -26,69 +26,114 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import checkpointed, map_arrow
 
 CAPACITY, END = 4096, 1
-CACHE = 200_000
+CACHE = 400_000
 #: Characters at which str.split() and the tokenizers' own notion of white space may differ.
 _ODD = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‏    ⁠　﻿]")
 _END_BYTES = END.to_bytes(4, "little")
 
 
+#: Words whose parts can be told here: no special tokens, combining marks or context-dependent case.
+_PLAIN = re.compile("(?!.*<\\|)[!-~\xa1-\u02af\u0400-\u052f]+")
+_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+
+
+class Generations:
+    """A cache of at most about twice ``CACHE`` entries: when the younger half is
+    full it becomes the older one, from which entries in use are taken over."""
+
+    def __init__(self, make):
+        self.make = make  # list of keys to list of values
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def load(self, keys: set[str]) -> dict[str, bytes]:
+        """A dict that has all of ``keys``."""
+        missing = keys.difference(self.new)
+        if missing:
+            if len(self.new) + len(missing) > CACHE and self.new:
+                self.old, self.new, missing = self.new, {}, keys
+            again = missing & self.old.keys()
+            self.new.update(zip(again, map(self.old.__getitem__, again), strict=True))
+            unknown = list(missing - again)
+            if unknown:
+                self.new.update(zip(unknown, self.make(unknown), strict=True))
+        return self.new
+
+
 class Encoder:
-    """Token ids of whole texts, as little-endian bytes.
+    """Token ids of whole texts, as little-endian bytes, for vocabularies whose
+    pre-tokenizer parts text at white space and into runs of letters, single
+    digits and runs of signs, after lower-casing.
 
-    The pre-tokenizer of a word-level BPE never joins what white space parts, so
-    the ids of a text are those of its words. These are kept in two generations
-    of at most ``CACHE`` words each. Texts with unusual white space are encoded
-    whole."""
+    The ids of a text are those of its words, and the ids of a plain word those
+    of its parts; both are cached. Texts with unusual white space and other words
+    go to the tokenizer whole."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        self.words = Generations(self._of_words)
+        self.parts = Generations(self._of_parts)
+
+        # the letters that stand for the bytes of UTF-8 in byte-level vocabularies
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in set(shown)]
+        self.coded = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
+        self.letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+    def _of_texts(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in found]
+
+    def _of_parts(self, parts: list[str]) -> list[bytes]:
+        """Plain parts go straight to the merges, the rest to the whole tokenizer."""
+        out, rest, merge, letters, coded = [], [], self.tokenizer.model.tokenize, self.letters, self.coded
+        for i, part in enumerate(parts):
+            if not (part.isascii() and part.isalpha()):
+                if not _PLAIN.fullmatch(part):
+                    rest.append(i)
+                    out.append(b"")
+                    continue
+                part = "".join([letters[b] for b in part.encode()])
+            out.append(b"".join([coded[t.id] for t in merge(part)]))
+        if rest:
+            for i, ids in zip(rest, self._of_texts([parts[i] for i in rest]), strict=True):
+                out[i] = ids
+        return out
 
-    def _learn(self, words: set[str]) -> None:
-        unknown = []
-        for w in words:
-            got = self.old.get(w)
-            if got is None:
-                unknown.append(w)
-            else:
-                self.new[w] = got
-        for w, e in zip(unknown, self.tokenizer.encode_batch_fast(unknown, add_special_tokens=False), strict=True):
-            self.new[w] = np.array(e.ids, "<u4").tobytes()
+    def _of_words(self, words: list[str]) -> list[bytes]:
+        parts = []
+        for word in words:
+            stem, sign = (word[:-1], word[-1]) if word[-1] in ".,;:!?" else (word, "")
+            if not (stem.isascii() and stem.isalpha()):
+                if not _PLAIN.fullmatch(word):
+                    parts.append((word,))
+                    continue
+                if not stem.isalpha():
+                    parts.append(_PARTS.findall(word.lower()))
+                    continue
+            parts.append((stem.lower(), sign) if sign else (stem.lower(),))
+        known = self.parts.load(set(chain.from_iterable(parts)))
+        return [known[p[0]] if len(p) == 1 else b"".join([known[x] for x in p]) for p in parts]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text, without an end token."""
-        out = []
-        for text in texts:
-            if not text:
-                out.append(b"")
-            elif _ODD.search(text):
-                out.append(self._whole(text))
-            else:
-                words = text.split()
-                missing = set(words).difference(self.new)
-                if missing:
-                    if len(self.new) + len(missing) > CACHE and self.new:
-                        self.old, self.new = self.new, {}
-                        missing = set(words)
-                    self._learn(missing)
-                out.append(b"".join(map(self.new.__getitem__, words)))
-        return out
+        split = [None if text and _ODD.search(text) else (text or "").split() for text in texts]
+        known = self.words.load(set(chain.from_iterable(filter(None, split)))).__getitem__
+        return [self._of_texts([t])[0] if w is None else b"".join(map(known, w)) for t, w in zip(texts, split, strict=True)]
 
 
 _encoders: dict[str, Encoder] = {}
