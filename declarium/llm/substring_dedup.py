@@ -172,12 +172,11 @@ def _remove(size: int, digest: bool):
     return run
 
 
-def _frequent(rows: DataFrame, column: str, most: int) -> DataFrame:
+def _frequent(rows: DataFrame, column: str, most: int) -> list[int]:
     """Values of ``column`` that a Misra-Gries summary finds in more than 1/most
-    of the rows: at most ``most`` of them, so they may be broadcast."""
+    of the rows: at most ``most`` of them, so they may go into the plan."""
     top = rows.agg(F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k({column}, {most}, {8 * most})").alias("top")).first()
-    found = [(t["item"],) for t in top.top or [] if t["count"] > max(top.n / most, 1)]
-    return rows.sparkSession.createDataFrame(found, f"{column} bigint")
+    return [t["item"] for t in top.top or [] if t["count"] > max(top.n / most, 1)]
 
 
 def _same(a: str, b: str, keys: list[str]):
@@ -190,15 +189,15 @@ def _same(a: str, b: str, keys: list[str]):
 def surviving_runs(texts: DataFrame, keys: list[str], kinds: str, size: int, most: int) -> DataFrame:
     """keys and runs (first and last window) whose windows of size/4 and size/2 words are repeated."""
     anchors = map_arrow(texts.select(*keys, "text"), _anchors(size), f"{kinds}, h bigint, place bigint, wide bigint")
-    hot = F.broadcast(_frequent(anchors, "h", most).withColumn("hot", F.lit(True)))
-    anchors = anchors.join(hot, "h", "left")
-    count = lambda *by: F.count(F.lit(1)).over(Window.partitionBy(*by))
-    rest = anchors.where("hot IS NULL").withColumn("n", count("h")).where("n > 1")
+    # a hash in so many rows is repeated: its rows pass, and are dealt out by place
+    hot = F.col("h").isin(_frequent(anchors, "h", most))
+    marked = anchors.withColumn("hot", hot).withColumn("salt", F.when(F.col("hot"), F.xxhash64(*keys, "place")).otherwise(F.lit(0)))
+    count = lambda *by: F.count(F.lit(1)).over(Window.partitionBy("h", "salt", *by))
+    rest = marked.withColumn("n", count()).where("n > 1 OR hot")
     rest = rest.withColumn("r", F.shiftright("wide", 32)).withColumn("l", F.col("wide").bitwiseAND(F.lit(0xFFFFFFFF)))
     # a run may have only one of the two, so the sides are counted apart
-    rest = rest.withColumn("n_r", count("h", "r")).withColumn("n_l", count("h", "l"))
-    both = rest.select(*keys, "place", (F.col("n_r") > 1).alias("on_r"), (F.col("n_l") > 1).alias("on_l"))
-    both = both.unionByName(anchors.where("hot").select(*keys, "place", F.lit(True).alias("on_r"), F.lit(True).alias("on_l")))
+    rest = rest.withColumn("n_r", count("r")).withColumn("n_l", count("l"))
+    both = rest.select(*keys, "place", F.expr("n_r > 1 OR hot").alias("on_r"), F.expr("n_l > 1 OR hot").alias("on_l"))
     begin = F.shiftright("place", 16).cast("int")
     both = both.select(
         *keys,
@@ -225,12 +224,12 @@ def repeats(texts: DataFrame, keys: list[str], kinds: str, size: int = SIZE, mos
     windows = written(map_arrow(full, _windows(size), f"{kinds}, start int, h1 bigint, h2 int"), "windows")
     names = [*keys, "start"]
     place = F.struct(F.col("id").isNull().alias("none"), *names)
-    hot = F.broadcast(_frequent(windows, "h1", most))
-    firsts = windows.join(hot, "h1").groupBy("h1", "h2").agg(F.min(place).alias("first"))
+    firsts = windows.where(F.col("h1").isin(_frequent(windows, "h1", most))).groupBy("h1", "h2").agg(F.min(place).alias("first"))
     # bounded by the summary, but for hashes that agree in h1 alone
     table = spark.createDataFrame(firsts.collect(), firsts.schema)
+    # one row at most for each window: the winners' hashes are distinct
     heavy = windows.join(F.broadcast(table), ["h1", "h2"], "left")
-    later = heavy.where(F.col("first").isNotNull() & (place != F.col("first"))).select(*names)
+    later = heavy.where(F.coalesce(place != F.col("first"), F.lit(False))).select(*names)
     order = F.row_number().over(Window.partitionBy("h1", "h2").orderBy(F.col("id").asc_nulls_last(), *names[1:]))
     rest = heavy.where(F.col("first").isNull()).withColumn("k", order).where("k > 1").select(*names)
     return later.unionByName(rest).groupBy(*keys).agg(F.collect_list("start").alias("repeats"))
