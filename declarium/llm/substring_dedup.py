@@ -245,7 +245,7 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     keys, kinds, texts = ["id"], f"id {kind}", rows
     if rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR id IS NULL").take(1):
         keys, kinds, texts = ["id", "key"], f"id {kind}, key bigint", rows.dropDuplicates(["id", "key"])
-    found = repeats(texts, keys, kinds, size, most)
+    found = written(repeats(texts, keys, kinds, size, most), "repeats")
     joined = rows.alias("t").join(found.alias("f"), _same("t", "f", keys), "left").select("t.id", "text", "repeats")
     name = "kept_sha256" if digest else "kept_text"
     return map_arrow(joined, _remove(size, digest), f"id {kind}, n_words bigint, n_removed bigint, {name} string")
