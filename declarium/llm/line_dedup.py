@@ -154,6 +154,7 @@ def pairs(docs: DataFrame, rare: int = 8) -> DataFrame:
     lines = docs.select("no", F.explode(F.arrays_zip("lines", "strong")).alias("x")).where("x.strong").select("no", F.col("x.lines").alias("h"))
     lines = checkpointed(lines.groupBy("h", "no").agg(F.lit(1).alias("one")).select("h", "no"))
     held = lines.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("no").alias("first")).where("n > 1")
+    held = checkpointed(held)  # by itself, so that Spark can split the join on a hot line
     shared = checkpointed(lines.join(held, "h"))
     few = shared.where(F.col("n") <= rare).groupBy("h").agg(F.array_sort(F.collect_list("no")).alias("nos"))
     few = few.select(F.posexplode("nos").alias("k", "b"), "nos").select("b", F.explode(F.slice("nos", 1, F.col("k"))).alias("a"))
