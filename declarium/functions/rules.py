@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arrays import item_at
+
 MUTABLE = ("master", "main", "develop", "dev", "trunk", "head", "latest")
 
 
@@ -38,7 +40,7 @@ def url_hash(args: Column) -> Column:
     """The sha256 of a URL_HASH argument, lower-cased, or null."""
     at = F.array_position(args, "URL_HASH")
     pair = F.when(at > 0, F.get(args, at.cast("int")))
-    joined = F.element_at(F.filter(args, lambda a: a.rlike(r"(?i)^SHA256=[0-9a-f]{64}$")), 1)
+    joined = item_at(F.filter(args, lambda a: a.rlike(r"(?i)^SHA256=[0-9a-f]{64}$")), 1)
     return F.lower(F.nullif(F.regexp_extract(F.coalesce(F.when(pair.rlike("(?i)^SHA256="), pair), joined), r"(?i)^SHA256=([0-9a-f]{64})$", 1), F.lit("")))
 
 
@@ -46,7 +48,7 @@ def keyword_values(args: Column, keyword: str, others: Sequence[str]) -> Column:
     """Arguments after ``keyword`` up to the next of ``others``."""
     at = F.array_position(args, keyword).cast("int")
     rest = F.when(at > 0, F.slice(args, F.greatest(at + 1, F.lit(1)), F.greatest(F.size(args) - at, F.lit(0))))
-    ends = F.filter(F.sequence(F.lit(1), F.size(rest)), lambda i: F.element_at(rest, i).isin(*others))
+    ends = F.filter(F.sequence(F.lit(1), F.size(rest)), lambda i: item_at(rest, i).isin(*others))
     ends = F.when(F.size(rest) > 0, ends).otherwise(F.array().cast("array<int>"))
     return F.slice(rest, 1, F.coalesce(F.array_min(ends) - 1, F.size(rest)))
 
@@ -76,7 +78,7 @@ def first_hint(path: Column, hints: Sequence[tuple[str, str]]) -> Column:
 
 def chain_scope(chain: Column, own: Column, role_scope: Column, hints: Sequence[tuple[str, str]], default: str = "runtime") -> Column:
     """Scope of the nearest includer that has one, else of the own path, else of the role, else the default."""
-    nearest = F.element_at(F.filter(F.transform(F.reverse(chain), lambda p: first_hint(p, hints)), lambda s: s.isNotNull()), 1)
+    nearest = item_at(F.filter(F.transform(F.reverse(chain), lambda p: first_hint(p, hints)), lambda s: s.isNotNull()), 1)
     return F.coalesce(nearest, first_hint(own, hints), role_scope, F.lit(default))
 
 

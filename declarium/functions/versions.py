@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arrays import item_at
+
 
 def without_v(c: Column) -> Column:
     """Trimmed, without a ``v`` or ``V`` before a digit."""
@@ -79,7 +81,7 @@ def concrete_pin(specifier: Column) -> Column:
 
 def version_in_archive(url: Column) -> Column:
     """Version in an archive's file name, or null."""
-    file = F.element_at(F.split(F.regexp_replace(url, "[?#].*$", ""), "/"), -1)
+    file = item_at(F.split(F.regexp_replace(url, "[?#].*$", ""), "/"), -1)
     stem = F.regexp_replace(file, r"(?i)\.(tar\.(gz|xz|bz2|zst)|tgz|tbz2|txz|zip)$", "")
     found = F.regexp_extract(stem, r"(?:^|[-_])v?(\d+(?:\.\d+)*[\w.]*)$", 1)
     return F.when(found != "", found)

@@ -2,24 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
 from .order import top_one
 
 ROLE_RANK = {r: i for i, r in enumerate(("primary", "sibling_artifact", "cmake_project", "unclassified", "example", "manual_example", "st_test", "experimental", "non_distributable_test"))}
 
 
-def _checkpointed(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(folder or f"file://{tempfile.mkdtemp(prefix='declarium-')}")
-    return df.checkpoint(eager=True)
-
-
 def reachable(edges: DataFrame, roots: DataFrame, most_rounds: int = 1000) -> DataFrame:
     """(group, kind, id) reached from each group's roots.
 
@@ -28,17 +19,17 @@ def reachable(edges: DataFrame, roots: DataFrame, most_rounds: int = 1000) -> Da
     A round joins only the nodes found in the last one; every round is checkpointed."""
     e = edges.select("root", "from_kind", "from_id", "to_kind", "to_id").distinct()
     owners = roots.select(F.col("group").alias("o_group"), "owner").distinct()
-    seen = _checkpointed(roots.select("group", "kind", "id").distinct())
+    seen = checkpointed(roots.select("group", "kind", "id").distinct())
     frontier = seen
     for _ in range(most_rounds):
         step = frontier.join(e, (F.col("kind") == F.col("from_kind")) & (F.col("id") == F.col("from_id")))
         free = step.where("root IS NULL").select("group", "to_kind", "to_id")
         owned = step.join(owners, (F.col("group") == F.col("o_group")) & (F.col("root") == F.col("owner")), "left_semi").select("group", "to_kind", "to_id")
         found = free.unionByName(owned).distinct().select("group", F.col("to_kind").alias("kind"), F.col("to_id").alias("id"))
-        frontier = _checkpointed(found.join(seen, ["group", "kind", "id"], "left_anti"))
+        frontier = checkpointed(found.join(seen, ["group", "kind", "id"], "left_anti"))
         if frontier.isEmpty():
             return seen
-        seen = _checkpointed(seen.unionByName(frontier))
+        seen = checkpointed(seen.unionByName(frontier))
     raise RuntimeError(f"no end after {most_rounds} rounds")
 
 

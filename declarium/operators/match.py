@@ -41,13 +41,17 @@ def latest(offered: DataFrame, key: str, label: str) -> DataFrame:
     return offered.where(dotted(F.col(label)) != "").groupBy(key).agg(F.max_by(dotted(F.col(label)), F.struct(numbers.alias("n"), F.col(label).alias("l"))).alias("latest"))
 
 
+def _append(suffix: str):
+    return lambda s: F.concat(s, F.lit(suffix))
+
+
 def find_entry(wanted: DataFrame, entries: DataFrame, suffixes: tuple[str, ...] = ("", ".tar.gz", ".zip", ".tgz")) -> DataFrame:
     """name and entry: candidates by name, then name-version, with archive suffixes,
     then by squeezed name; ``wanted`` has name, aliases, versions; ``entries`` has entry."""
     names = F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))
     tagged = F.flatten(F.transform(names, lambda n: F.transform(F.coalesce("versions", F.array().cast("array<string>")), lambda v: F.concat(n, F.lit("-"), v))))
     stems = F.concat(names, tagged)
-    full = F.flatten(F.array(*[F.transform(stems, lambda s, x=x: F.concat(s, F.lit(x))) for x in suffixes]))
+    full = F.flatten(F.array(*[F.transform(stems, _append(x)) for x in suffixes]))
     exact = wanted.select("name", F.posexplode(full).alias("rank", "entry")).join(entries, "entry").select("name", "entry", "rank")
     loose = wanted.select("name", F.posexplode(names).alias("rank", "n")).select("name", (F.col("rank") + 1_000_000).alias("rank"), squeezed(F.col("n")).alias("k"))
     loose = loose.join(entries.select("entry", squeezed(F.col("entry")).alias("k")), "k").select("name", "entry", "rank")

@@ -108,13 +108,13 @@ def upstream_facts(observations: DataFrame, key: str, url: str, is_vcs: str, seq
 def component_purls(components: DataFrame, coordinates: DataFrame, downloads: DataFrame) -> DataFrame:
     """purl: curated coordinate, else generic with the first download; Python rows by name and version."""
     c = coordinates.select(F.lower("key").alias("c_key"), F.col("purl").alias("c_purl"))
-    d = downloads.select(F.col("name").alias("d_name"), "first_download")
+    d = downloads.select(F.col("name").alias("d_name"), F.col("first_download").alias("d_url"))
     out = components.join(c, F.lower("name") == F.col("c_key"), "left").join(d, F.col("name") == F.col("d_name"), "left")
     none = F.lit(None).cast("string")
     version = F.coalesce("source_version", "effective_version")
-    generic = F.concat(purl(F.lit("generic"), none, F.coalesce(upstream_name(F.col("first_download")), F.col("name")), version), F.lit("?download_url="), F.url_encode("first_download"))
-    chosen = F.when(F.col("is_python"), purl(F.lit("pypi"), none, F.col("name"), version)).otherwise(F.coalesce("c_purl", F.when(F.col("first_download").isNotNull(), generic)))
-    return out.withColumn("purl", chosen).drop("c_key", "c_purl", "d_name", "first_download")
+    generic = F.concat(purl(F.lit("generic"), none, F.coalesce(upstream_name(F.col("d_url")), F.col("name")), version), F.lit("?download_url="), F.url_encode("d_url"))
+    chosen = F.when(F.col("is_python"), purl(F.lit("pypi"), none, F.col("name"), version)).otherwise(F.coalesce("c_purl", F.when(F.col("d_url").isNotNull(), generic)))
+    return out.withColumn("purl", chosen).drop("c_key", "c_purl", "d_name", "d_url")
 
 
 def coordinate_key(provider: Column, namespace: Column, name: Column, revision: Column) -> Column:

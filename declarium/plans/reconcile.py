@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import licences, rules
 from ..functions.text import pep503
 from ..operators import alias, closure, edges as edge_ops, merge, resolve, scope
+from ..session import checkpointed
 from .config import Config, Profile
 
 
@@ -98,17 +99,20 @@ def reconcile(doc: Document, config: Config = Config(), profile: Profile | None
     ``known_licences`` has key and license; ``curated`` component, version, license,
     copyright, source and seq."""
     profile = profile or Profile()
+    # the tables are used many times over: each is computed once
+    doc = replace(doc, components=checkpointed(doc.components), observations=checkpointed(doc.observations), edges=checkpointed(doc.edges))
     spark = doc.components.sparkSession
     own = alias.config_layer(spark, config.aliases).withColumn("prio", F.lit(0))
     site = alias.config_layer(spark, profile.aliases).withColumn("prio", F.lit(1))
     table = alias.resolve_layers([own.select("spelling", "canonical", "seq", "prio"), site.select("spelling", "canonical", "seq", "prio")])
     named = doc.observations.where("canonical_url IS NOT NULL")
     derived, clash = alias.derived_aliases(named, "raw_name", "canonical_url", "seq")
-    table = alias.with_derived(table, derived)
+    table = checkpointed(alias.with_derived(table, derived))
     warnings = [doc.warnings, clash.select(F.lit("derived_alias_collision").alias("code"), F.col("canonical").alias("subject"), F.lit("several URLs give this name").alias("detail"))]
 
-    comps = merge.components(doc.components, table)
+    comps = checkpointed(merge.components(doc.components, table))
     observed, added, lost = alias.attach(doc.observations, comps, table)
+    observed = checkpointed(observed)
     warnings.append(lost)
     comps = comps.unionByName(added, allowMissingColumns=True).withColumn("type", F.coalesce("type", F.lit("library")))
     scopes = observed.groupBy("component").agg(merge.ordered_union("usage_scope", "seq").alias("o_scopes"))
@@ -118,6 +122,7 @@ def reconcile(doc: Document, config: Config = Config(), profile: Profile | None
     rolled = edge_ops.depends_on(edges).withColumnRenamed("name", "d_name")
     comps = comps.join(rolled, F.col("name") == F.col("d_name"), "left").withColumn("depends_on", F.coalesce("depends_on", F.array().cast("array<string>"))).drop("d_name")
 
+    comps = checkpointed(comps)
     if curated is not None:
         c = merge.curated(alias.canonical(curated, "component", table, "component"))
         found = c.withColumnRenamed("component", "name").withColumnRenamed("license", "curated_license")
@@ -126,6 +131,7 @@ def reconcile(doc: Document, config: Config = Config(), profile: Profile | None
     else:
         comps = comps.withColumn("curated_license", F.lit(None).cast("string"))
     conflicts = merge.pin_conflicts(observed)
+    conflicts = checkpointed(conflicts)
     comps = merge.apply_pin_conflicts(comps, conflicts)
     warnings.append(conflicts.select(F.lit("version_pin_conflict").alias("code"), F.col("component").alias("subject"), F.concat(F.lit("pins "), F.array_join("pins", ", "), F.lit("; kept "), "kept").alias("detail")))
     warnings.append(merge.patched_builds(comps))
@@ -142,6 +148,7 @@ def reconcile(doc: Document, config: Config = Config(), profile: Profile | None
     warnings.append(resolve.unresolved(comps, "name", "license"))
     warnings.append(comps.where("license_discrepant").select(F.lit("license_discrepancy").alias("code"), F.col("name").alias("subject"), F.lit("sources disagree").alias("detail")))
 
+    comps = checkpointed(comps)
     facts = resolve.upstream_facts(observed, "component", "canonical_url", F.col("is_vcs"), "seq")
     python = observed.groupBy("component").agg(F.bool_or(F.col("source_kind") == "python_requirement").alias("is_python"))
     facts = facts.join(python, "component").withColumnRenamed("component", "u_name")
@@ -150,6 +157,7 @@ def reconcile(doc: Document, config: Config = Config(), profile: Profile | None
     comps = comps.withColumn("origin", rules.provenance_class(profile.provenance(F.col("name")), F.col("is_python"), F.col("has_download"), licences.has_concrete(F.col("license"))))
     if profile.supplier:
         comps = resolve.suppliers(comps, profile.first_party(F.col("name")), profile.supplier)
+    comps = checkpointed(comps)
     coordinates = spark.createDataFrame([], "key string, purl string")
     comps = resolve.component_purls(comps.withColumn("is_python", F.coalesce("is_python", F.lit(False))), coordinates, comps.select("name", "first_download"))
     every = reduce(DataFrame.unionByName, warnings)

@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _ROOT = Path(__file__).resolve().parent
 
@@ -27,3 +27,13 @@ def ship(spark: SparkSession) -> None:
                 out.write(path, path.relative_to(_ROOT.parent))
         context.addPyFile(str(target))
     context._declarium_shipped = True
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the folder in ``spark.checkpoint.dir`` and cut its lineage;
+    a temporary folder is set only where there is none, as in tests."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        spark.sparkContext.setCheckpointDir(folder or f"file://{tempfile.mkdtemp(prefix='declarium-')}")
+    return df.checkpoint(eager=True)

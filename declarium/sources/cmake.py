@@ -8,6 +8,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import item_at
 from ..functions import rules
 from ..functions.text import null_if_empty
 from ..functions.versions import version_in_archive
@@ -82,12 +83,12 @@ def commands(files: DataFrame) -> DataFrame:
 
 def variables(cmds: DataFrame) -> DataFrame:
     """(repo, path, var, values, last): all values that ``set`` gives a variable of a file."""
-    own = cmds.where("command = 'set' AND size(args) > 1").select("repo", "path", "pos", F.element_at("args", 1).alias("var"), F.slice("args", 2, 10_000).alias("vs"))
+    own = cmds.where("command = 'set' AND size(args) > 1").select("repo", "path", "pos", item_at("args", 1).alias("var"), F.slice("args", 2, 10_000).alias("vs"))
     cut = F.array_position("vs", "CACHE")
     own = own.withColumn("vs", F.when(cut > 1, F.slice("vs", 1, (cut - 1).cast("int"))).otherwise(F.col("vs")))
     out = own.groupBy("repo", "path", "var").agg(F.array_sort(F.collect_list(F.struct("pos", "vs"))).alias("all"))
     values = F.flatten(F.transform("all", lambda x: x["vs"]))
-    return out.select("repo", "path", "var", values.alias("values"), F.element_at(values, -1).alias("last"))
+    return out.select("repo", "path", "var", values.alias("values"), item_at(values, -1).alias("last"))
 
 
 def expand_variable(df: DataFrame, column: str, cmds: DataFrame) -> DataFrame:
@@ -112,7 +113,7 @@ def downloads(cmds: DataFrame) -> DataFrame:
     urls = F.filter(candidates, lambda c: c.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"))
     rows = rows.select(
         "repo", "path", "pos", "line", "command", "args", "gates",
-        F.element_at("args", 1).alias("target"),
+        item_at("args", 1).alias("target"),
         F.get(urls, F.lit(0)).alias("canonical_url"),
         F.get(candidates, F.size(candidates) - 1).alias("location"),
         rules.url_hash(F.col("args")).alias("sha256"),
@@ -139,7 +140,7 @@ def patches(loads: DataFrame, files: DataFrame) -> DataFrame:
 def find_packages(cmds: DataFrame) -> DataFrame:
     required, quiet = F.array_contains("args", "REQUIRED"), F.array_contains("args", "QUIET")
     return cmds.where("command = 'find_package'").select(
-        "repo", "path", "pos", "gates", F.element_at("args", 1).alias("name"), required.alias("required"), quiet.alias("quiet"), (required | F.col("fatal_near")).alias("effective_required"),
+        "repo", "path", "pos", "gates", item_at("args", 1).alias("name"), required.alias("required"), quiet.alias("quiet"), (required | F.col("fatal_near")).alias("effective_required"),
         F.when(F.get("args", F.lit(1)).rlike(r"^\d"), F.get("args", F.lit(1))).alias("version"),
     )
 
@@ -148,16 +149,16 @@ def link_tokens(cmds: DataFrame) -> DataFrame:
     """Linked libraries, variables expanded, and what kind each is."""
     rows = cmds.where("command IN ('target_link_libraries', 'link_libraries')")
     args = F.when(F.col("command") == "link_libraries", F.col("args")).otherwise(F.slice("args", 2, 10_000))
-    each = rows.select("repo", "path", "pos", "gates", F.when(F.col("command") != "link_libraries", F.element_at("args", 1)).alias("target"), F.explode(args).alias("token")).where(~F.col("token").isin(*LINK_WORDS))
+    each = rows.select("repo", "path", "pos", "gates", F.when(F.col("command") != "link_libraries", item_at("args", 1)).alias("target"), F.explode(args).alias("token")).where(~F.col("token").isin(*LINK_WORDS))
     each = expand_variable(each, "token", cmds).withColumn("token", F.regexp_replace("token", "^-l", ""))
-    local = cmds.where("command IN ('add_library', 'add_executable', 'add_custom_target')").select(F.col("repo").alias("l_repo"), F.element_at("args", 1).alias("l_name")).distinct()
+    local = cmds.where("command IN ('add_library', 'add_executable', 'add_custom_target')").select(F.col("repo").alias("l_repo"), item_at("args", 1).alias("l_name")).distinct()
     hit = each.join(local, (F.col("repo") == F.col("l_repo")) & (F.col("token") == F.col("l_name")), "left")
     return hit.withColumn("kind", rules.classify_link_token(F.col("token"), F.col("l_name").isNotNull())).drop("l_repo", "l_name")
 
 
 def target_edges(cmds: DataFrame) -> DataFrame:
     rows = cmds.where("command = 'add_dependencies'")
-    return rows.select("repo", "path", "pos", F.element_at("args", 1).alias("from_id"), F.explode(F.slice("args", 2, 10_000)).alias("to_id"))
+    return rows.select("repo", "path", "pos", item_at("args", 1).alias("from_id"), F.explode(F.slice("args", 2, 10_000)).alias("to_id"))
 
 
 def imported_programs(cmds: DataFrame) -> DataFrame:
@@ -198,13 +199,13 @@ def program_calls(cmds: DataFrame) -> DataFrame:
     every = F.array(*[F.struct(F.lit(w).alias("context"), F.array_join(rules.keyword_values(F.col("args"), w, KEYWORDS), " ").alias("raw")) for w in words])
     each = rows.select("repo", "path", "pos", "gates", F.explode(F.filter(every, lambda x: x["raw"] != "")).alias("c"))
     each = each.select("repo", "path", "pos", "gates", "c.context", F.explode(split("c.raw")).alias("argv"))
-    return each.select("repo", "path", "pos", "gates", "context", F.element_at("argv", 1).alias("program"))
+    return each.select("repo", "path", "pos", "gates", "context", item_at("argv", 1).alias("program"))
 
 
 def includes(cmds: DataFrame, files: DataFrame, cmake_root: str = "") -> DataFrame:
     """(repo, path, pos, gates, raw, target): the first candidate that exists, else the
     first; directory variables are the file's folder, the root or its cmake folder."""
-    rows = cmds.where("command IN ('include', 'add_subdirectory')").select("repo", "path", "pos", "gates", "command", F.element_at("args", 1).alias("raw"))
+    rows = cmds.where("command IN ('include', 'add_subdirectory')").select("repo", "path", "pos", "gates", "command", item_at("args", 1).alias("raw"))
     here = F.regexp_replace("path", "/?[^/]+$", "")
     bases = {"CMAKE_CURRENT_LIST_DIR": here, "CMAKE_CURRENT_SOURCE_DIR": here, "CMAKE_SOURCE_DIR": F.lit(cmake_root), "PROJECT_SOURCE_DIR": F.lit(cmake_root), "CMAKE_MODULE_PATH": F.lit(f"{cmake_root}/cmake".strip("/"))}
     filled = F.col("raw")
@@ -259,7 +260,7 @@ def reached(links: DataFrame, entries: DataFrame) -> DataFrame:
 def projects(cmds: DataFrame) -> DataFrame:
     """(repo, path, name, version) of project(): a name drops an unknown variable and
     keeps the rest, a version with one is null as a whole."""
-    rows = cmds.where("command = 'project'").select("repo", "path", "pos", F.element_at("args", 1).alias("raw_name"), F.get(rules.keyword_values(F.col("args"), "VERSION", ("LANGUAGES", "DESCRIPTION", "HOMEPAGE_URL")), F.lit(0)).alias("raw_version"))
+    rows = cmds.where("command = 'project'").select("repo", "path", "pos", item_at("args", 1).alias("raw_name"), F.get(rules.keyword_values(F.col("args"), "VERSION", ("LANGUAGES", "DESCRIPTION", "HOMEPAGE_URL")), F.lit(0)).alias("raw_version"))
     v = variables(cmds).groupBy("repo", "path").agg(F.map_from_entries(F.collect_list(F.struct("var", "last"))).alias("vars"))
     rows = rows.join(v, ["repo", "path"], "left").withColumn("vars", F.coalesce("vars", F.create_map().cast("map<string,string>")))
     fill = lambda c, unknown: F.aggregate(F.regexp_extract_all(c, F.lit(r"\$\{([^}]+)\}"), F.lit(1)), c, lambda acc, n: F.replace(acc, F.concat(F.lit("${"), n, F.lit("}")), F.coalesce(F.try_element_at("vars", n), unknown(n))))
@@ -271,7 +272,7 @@ def projects(cmds: DataFrame) -> DataFrame:
 def missing_fragments(cmds: DataFrame, files: DataFrame, macros: dict[str, str]) -> DataFrame:
     """Warnings for macro calls whose fragment isn't in the tree, by name."""
     table = cmds.sparkSession.createDataFrame([(k.lower(), v) for k, v in macros.items()], "command string, template string")
-    calls = cmds.join(F.broadcast(table), "command").select("repo", F.replace("template", F.lit("{}"), F.element_at("args", 1)).alias("path"), F.element_at("args", 1).alias("subject"))
+    calls = cmds.join(F.broadcast(table), "command").select("repo", F.replace("template", F.lit("{}"), item_at("args", 1)).alias("path"), item_at("args", 1).alias("subject"))
     lost = calls.join(files.select("repo", "path"), ["repo", "path"], "left_anti").distinct()
     return lost.select(F.lit("unresolved_macro").alias("code"), "subject", F.concat(F.lit("no file "), F.col("path")).alias("detail"))
 
@@ -279,7 +280,7 @@ def missing_fragments(cmds: DataFrame, files: DataFrame, macros: dict[str, str])
 def local_source_unverified(cmds: DataFrame) -> DataFrame:
     """Targets that take a local folder under one gate and a download under its
     negation: the local content isn't verified."""
-    rows = cmds.where("command IN ('externalproject_add', 'fetchcontent_declare')").withColumn("target", F.element_at("args", 1))
+    rows = cmds.where("command IN ('externalproject_add', 'fetchcontent_declare')").withColumn("target", item_at("args", 1))
     local = F.array_contains("args", "SOURCE_DIR") & ~F.array_contains("args", "URL") & ~F.array_contains("args", "GIT_REPOSITORY")
     out = rows.groupBy("repo", "path", "target").agg(F.bool_or(local & (F.size("gates") > 0)).alias("local"), F.bool_or(~local & (F.size("gates") > 0)).alias("remote"))
     return out.where("local AND remote").select("repo", "path", "target", F.lit("local_source_unverified").alias("finding"))

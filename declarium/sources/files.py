@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import item_at
 from ..session import ship
 
 VENDOR_SKIP = (".git", "build", "out", "node_modules", "__pycache__")
@@ -47,9 +48,9 @@ def vendored(files: DataFrame, vendor_roots: tuple[str, ...] = ("third_party", "
 
     parts = F.split("path", "/")
     rows = files.select("repo", parts.alias("p")).where(~F.arrays_overlap("p", F.array(*map(F.lit, VENDOR_SKIP))))
-    at = F.filter(F.sequence(F.lit(1), F.size("p")), lambda i: F.element_at("p", i).isin(*vendor_roots))
+    at = F.filter(F.sequence(F.lit(1), F.size("p")), lambda i: item_at("p", i).isin(*vendor_roots))
     rows = rows.withColumn("at", F.get(at, F.lit(0))).where(F.col("at").isNotNull() & (F.size("p") > F.col("at") + 1))
-    folder, below = F.element_at("p", F.col("at") + 1), F.get("p", F.col("at") + 1)
+    folder, below = item_at("p", F.col("at") + 1), F.get("p", F.col("at") + 1)
     tail = F.regexp_extract(folder, r"[-_]v?(\d+(\.\d+)*)$", 1)
     named = rows.select(
         "repo",

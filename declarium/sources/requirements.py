@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import pep503
 from ..functions.versions import concrete_pin
+from ..session import checkpointed
 from .files import parse
 
 SCHEMA = "line int, kind string, raw string, extras array<string>, specifier string, marker string, url string, hashes array<string>, target string, editable boolean"
@@ -73,10 +74,10 @@ def expand(rows: DataFrame, entries: DataFrame, most_rounds: int = 50) -> DataFr
     frontier = seen
     for depth in range(1, most_rounds + 1):
         found = frontier.join(links, ["repo", "path"]).select("repo", "entry", F.col("to").alias("path"), F.lit(depth).alias("depth")).distinct()
-        frontier = found.join(seen, ["repo", "entry", "path"], "left_anti").checkpoint()
+        frontier = checkpointed(found.join(seen, ["repo", "entry", "path"], "left_anti"))
         if frontier.isEmpty():
             return seen
-        seen = seen.unionByName(frontier).checkpoint()
+        seen = checkpointed(seen.unionByName(frontier))
     raise RuntimeError("includes are nested too deeply")
 
 
