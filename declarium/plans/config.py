@@ -26,24 +26,34 @@ class Config:
     detail: str = "compact"
     homepage: str | None = None
     profile: str | None = None
+    repo_root: str = "."
+    out_dir: str = "."
+    formats: tuple[str, ...] = ("cyclonedx", "spdx")
+    split_subjects: bool = False
+    env_tools: bool = True
 
     def filters(self) -> tuple[set[str], set[str] | None, set[str], bool]:
         """Excluded scopes, kept scopes, excluded roles, without tools."""
         scopes, keep, roles, bare = preset(self.view)
         named = [excluded_token(t) for t in self.exclude]
-        return scopes | {s for _, s in named if s}, keep, roles | {r for r, _ in named if r}, bare
+        return scopes | {s for _, s in named if s}, keep, roles | {r for r, _ in named if r}, bare or not self.env_tools
 
 
 def parse_args(argv: Sequence[str]) -> Config:
     """Command line over file over defaults."""
     p = argparse.ArgumentParser(prog="declarium", argument_default=argparse.SUPPRESS)
     p.add_argument("--config", default=None)
-    p.add_argument("--view", choices=("release", "all"))
-    p.add_argument("--exclude", action="append")
+    p.add_argument("--view", "--scope", dest="view", choices=("release", "all"))
+    p.add_argument("--exclude", "--exclude-scope", dest="exclude", action="append")
     p.add_argument("--subjects", action="append")
     p.add_argument("--detail", choices=("compact", "full"))
     p.add_argument("--epoch", type=int)
-    p.add_argument("--profile")
+    p.add_argument("--profile", "--repo-profile", dest="profile")
+    p.add_argument("--repo-root")
+    p.add_argument("--out-dir")
+    p.add_argument("--format", dest="formats", action="append")
+    p.add_argument("--split-subjects", action="store_true")
+    p.add_argument("--no-env-tools", dest="env_tools", action="store_false")
     p.add_argument("--homepage")
     p.add_argument("--reproducible", action="store_true")
     given = vars(p.parse_args(list(argv)))

@@ -39,27 +39,38 @@ def gather(parts: list[Document]) -> Document:
     def join(name: str) -> DataFrame:
         frames = [getattr(p, name) for p in parts]
         if "seq" in frames[0].columns:
-            frames = [f.withColumn("seq", F.col("seq") + F.lit(i) * F.lit(1 << 40)) for i, f in enumerate(frames)]
+            frames = [f.withColumn("seq", F.col("seq") + F.lit(i) * F.lit(1 << 52)) for i, f in enumerate(frames)]
         return reduce(DataFrame.unionByName, frames)
 
     return Document(*[join(n) for n in ("subjects", "components", "observations", "edges", "tools", "warnings")])
 
 
+def _placed(rows: DataFrame, files: DataFrame, owner: str) -> DataFrame:
+    """``rows`` with _site, the file's place in the sorted list, and _owner, the
+    subject that ``files`` names for the file or else ``owner``."""
+    from ..sources.files import sequenced
+
+    files = files if "seq" in files.columns else sequenced(files)
+    own = F.coalesce("owner", F.lit(owner)) if "owner" in files.columns else F.lit(owner)
+    return rows.join(files.select("repo", "path", (F.col("seq") * F.lit(1 << 24)).cast("bigint").alias("_site"), own.alias("_owner")), ["repo", "path"])
+
+
 def from_cmake(files: DataFrame, commands: DataFrame, profile: Profile, owner: str) -> Document:
     """Observations, components, edges and tools of CMake commands."""
     from ..sources import cmake
 
     spark = files.sparkSession
-    site = F.xxhash64("repo", "path").bitwiseAND(F.lit((1 << 20) - 1)) * F.lit(1 << 16)
+    site, own = F.col("_site"), F.col("_owner")
     hints = F.coalesce(rules.first_hint(F.concat(F.lit("/"), "path"), profile.scope_hints), F.lit("runtime"))
     none = F.lit(None).cast("string")
 
     def observe(rows: DataFrame, name: str, kind: str, constraint=none, url=none, vcs=F.lit(False)) -> DataFrame:
-        return rows.select((site + F.col("pos")).alias("seq"), F.col(name).alias("raw_name"), F.lit(kind).alias("source_kind"), F.col("path").alias("source_file"), F.lit(owner).alias("root_artifact_id"), hints.alias("usage_scope"), constraint.alias("version_constraint"), url.alias("canonical_url"), vcs.alias("is_vcs"))
+        return rows.select((site + F.col("pos")).alias("seq"), F.col(name).alias("raw_name"), F.lit(kind).alias("source_kind"), F.col("path").alias("source_file"), own.alias("root_artifact_id"), hints.alias("usage_scope"), constraint.alias("version_constraint"), url.alias("canonical_url"), vcs.alias("is_vcs"))
 
-    loads = cmake.downloads(commands)
-    tokens = cmake.link_tokens(commands).where("kind = 'external'")
-    packages = cmake.find_packages(commands)
+    placed = lambda rows: _placed(rows, files, owner)
+    loads = placed(cmake.downloads(commands))
+    tokens = placed(cmake.link_tokens(commands).where("kind = 'external'"))
+    packages = placed(cmake.find_packages(commands))
     obs = observe(loads, "target", "cmake_external_project", url=F.coalesce("canonical_url", "location"), vcs=F.col("git_repository").isNotNull())
     obs = obs.unionByName(observe(tokens, "token", "cmake_link_library")).unionByName(observe(packages, "name", "cmake_find_package", constraint=F.col("version")))
     comps = loads.select(
@@ -67,11 +78,11 @@ def from_cmake(files: DataFrame, commands: DataFrame, profile: Profile, owner: s
         F.col("version").alias("source_version"), none.alias("effective_version"), none.alias("supplier"), none.alias("license"), none.alias("copyright"),
         F.when(F.col("sha256").isNotNull(), F.create_map(F.lit("sha256"), "sha256")).alias("checksums"), F.col("findings").alias("integrity_findings"),
     )
-    subject = tokens.select((site + F.col("pos")).alias("seq"), F.lit(owner).alias("root"), F.lit("subject").alias("from_kind"), F.lit(owner).alias("from_id"), F.lit("component").alias("to_kind"), F.col("token").alias("to_id"), F.lit("links").alias("relation"), hints.alias("usage_scope"), rules.reachability(F.col("gates"), profile.dead_flags or ("\0",))["reachability"].alias("reachability"), F.col("path").alias("source_file"), none.alias("source_revision"))
-    depends = cmake.target_edges(commands).select((site + F.col("pos")).alias("seq"), F.lit(owner).alias("root"), F.lit("component").alias("from_kind"), "from_id", F.lit("component").alias("to_kind"), "to_id", F.lit("depends_on").alias("relation"), hints.alias("usage_scope"), F.lit("reachable").alias("reachability"), F.col("path").alias("source_file"), none.alias("source_revision"))
-    programs = cmake.imported_programs(commands).unionByName(cmake.program_calls(commands))
+    subject = tokens.select((site + F.col("pos")).alias("seq"), own.alias("root"), F.lit("subject").alias("from_kind"), own.alias("from_id"), F.lit("component").alias("to_kind"), F.col("token").alias("to_id"), F.lit("links").alias("relation"), hints.alias("usage_scope"), rules.reachability(F.col("gates"), profile.dead_flags or ("\0",))["reachability"].alias("reachability"), F.col("path").alias("source_file"), none.alias("source_revision"))
+    depends = placed(cmake.target_edges(commands)).select((site + F.col("pos")).alias("seq"), own.alias("root"), F.lit("component").alias("from_kind"), "from_id", F.lit("component").alias("to_kind"), "to_id", F.lit("depends_on").alias("relation"), hints.alias("usage_scope"), F.lit("reachable").alias("reachability"), F.col("path").alias("source_file"), none.alias("source_revision"))
+    programs = placed(cmake.imported_programs(commands).unionByName(cmake.program_calls(commands)))
     kind = rules.classify_program(F.col("program"), F.col("context"), profile.tooling, ("cmake", "${CMAKE_COMMAND}"), ())
-    tools = programs.where(kind == "environment_tool").select((site + F.col("pos")).alias("seq"), F.col("program").alias("name"), none.alias("path"), none.alias("version"), (F.size("gates") == 0).alias("required"), F.col("path").alias("source_file"), F.lit(owner).alias("root_artifact_id"))
+    tools = programs.where(kind == "environment_tool").select((site + F.col("pos")).alias("seq"), F.col("program").alias("name"), none.alias("path"), none.alias("version"), (F.size("gates") == 0).alias("required"), F.col("path").alias("source_file"), own.alias("root_artifact_id"))
     return Document(spark.createDataFrame([], SUBJECTS), comps, obs, edge_ops.deduplicate(subject.unionByName(depends)), tools, spark.createDataFrame([], WARNINGS))
 
 
@@ -80,15 +91,37 @@ def from_requirements(files: DataFrame, profile: Profile, owner: str) -> Documen
     from ..sources import requirements
     from ..sources.files import requirements_files
 
-    spark, none = files.sparkSession, F.lit(None).cast("string")
+    none = F.lit(None).cast("string")
     rows = requirements.requirements(requirements_files(files)).where("name IS NOT NULL")
     file, folder = F.substring_index("path", "/", -1), F.regexp_replace("path", "/?[^/]+$", "")
     rows = rows.withColumn("scope", rules.file_scope(profile.file_scope(F.col("path")), none, file, folder))
-    rows = rows.withColumn("seq", F.xxhash64("repo", "path").bitwiseAND(F.lit((1 << 20) - 1)) * F.lit(1 << 16) + F.col("line"))
-    obs = rows.select("seq", F.col("name").alias("raw_name"), F.lit("python_requirement").alias("source_kind"), F.col("path").alias("source_file"), F.lit(owner).alias("root_artifact_id"), F.col("scope").alias("usage_scope"), F.coalesce("specifier", "constraint").alias("version_constraint"), F.col("url").alias("canonical_url"), F.coalesce(F.col("url").rlike(r"^(git|hg|svn|bzr)\+"), F.lit(False)).alias("is_vcs"))
+    rows = _placed(rows, files, owner).withColumn("seq", F.col("_site") + F.col("line"))
+    return _of_requirements(rows.withColumnRenamed("specifier", "own_specifier").withColumn("specifier", F.coalesce("own_specifier", "constraint")), "python_requirement")
+
+
+def from_packages(files: DataFrame, profile: Profile, owner: str) -> Document:
+    """Observations, components and edges of setup.py and pyproject.toml files."""
+    from ..functions.text import pep503
+    from ..functions.versions import concrete_pin
+    from ..sources.packages import declared
+
+    rows = _placed(declared(files).where("name <> ''"), files, owner)
+    file, folder = F.substring_index("path", "/", -1), F.regexp_replace("path", "/?[^/]+$", "")
+    installed = rules.file_scope(profile.file_scope(F.col("path")), F.lit(None).cast("string"), file, folder)
+    scope_ = F.when(F.col("kind") == "build", "build").when(F.col("kind").startswith("extra:"), "optional").otherwise(installed)
+    url = F.nullif(F.regexp_extract("requirement", r"@\s*(\S+)", 1), F.lit(""))
+    spec = F.when(url.isNull(), F.col("specifier"))
+    rows = rows.select("path", "_owner", (F.col("_site") + F.col("pos")).alias("seq"), pep503(F.col("name")).alias("name"), spec.alias("specifier"), concrete_pin(spec).alias("pin"), url.alias("url"), scope_.alias("scope"))
+    return _of_requirements(rows, "python_package")
+
+
+def _of_requirements(rows: DataFrame, kind: str) -> Document:
+    """Rows (seq, _owner, path, name, specifier, pin, url, scope) as a document."""
+    spark, none = rows.sparkSession, F.lit(None).cast("string")
+    obs = rows.select("seq", F.col("name").alias("raw_name"), F.lit(kind).alias("source_kind"), F.col("path").alias("source_file"), F.col("_owner").alias("root_artifact_id"), F.col("scope").alias("usage_scope"), F.col("specifier").alias("version_constraint"), F.col("url").alias("canonical_url"), F.coalesce(F.col("url").rlike(r"^(git|hg|svn|bzr)\+"), F.lit(False)).alias("is_vcs"))
     merged = merge.merge_by(rows, "name", "seq", first=["pin"], unions=["scope"])
     comps = merged.select(F.col("position").alias("seq"), "name", F.array().cast("array<string>").alias("aliases"), F.lit("library").alias("type"), F.col("scope").alias("scopes"), F.col("pin").alias("source_version"), none.alias("effective_version"), none.alias("supplier"), none.alias("license"), none.alias("copyright"), F.lit(None).cast("map<string,string>").alias("checksums"), F.array().cast("array<string>").alias("integrity_findings"))
-    edges = rows.select("seq", F.lit(owner).alias("root"), F.lit("subject").alias("from_kind"), F.lit(owner).alias("from_id"), F.lit("component").alias("to_kind"), F.col("name").alias("to_id"), F.lit("requires").alias("relation"), F.col("scope").alias("usage_scope"), F.lit("reachable").alias("reachability"), F.col("path").alias("source_file"), none.alias("source_revision"))
+    edges = rows.select("seq", F.col("_owner").alias("root"), F.lit("subject").alias("from_kind"), F.col("_owner").alias("from_id"), F.lit("component").alias("to_kind"), F.col("name").alias("to_id"), F.lit("requires").alias("relation"), F.col("scope").alias("usage_scope"), F.lit("reachable").alias("reachability"), F.col("path").alias("source_file"), none.alias("source_revision"))
     return Document(spark.createDataFrame([], SUBJECTS), comps, obs, edge_ops.deduplicate(edges, edge_ops.PYTHON), spark.createDataFrame([], TOOLS), spark.createDataFrame([], WARNINGS))
 
 
@@ -150,7 +183,7 @@ def reconcile(doc: Document, config: Config = Config(), profile: Profile | None
 
     comps = checkpointed(comps)
     facts = resolve.upstream_facts(observed, "component", "canonical_url", F.col("is_vcs"), "seq")
-    python = observed.groupBy("component").agg(F.bool_or(F.col("source_kind") == "python_requirement").alias("is_python"))
+    python = observed.groupBy("component").agg(F.bool_or(F.col("source_kind").startswith("python_")).alias("is_python"))
     facts = facts.join(python, "component").withColumnRenamed("component", "u_name")
     comps = comps.join(facts, F.col("name") == F.col("u_name"), "left").drop("u_name")
     warnings.append(comps.where("unverified_url IS NOT NULL AND is_python").select(F.lit("unverified_direct_url").alias("code"), F.col("name").alias("subject"), F.col("unverified_url").alias("detail")))

@@ -210,9 +210,14 @@ def parse_pyproject(path: str, text: str) -> list[dict]:
 
 
 def declared(files: DataFrame) -> DataFrame:
-    """repo, path, kind, requirement, name, specifier of setup.py and pyproject.toml files."""
-    schema = "kind string, requirement string"
-    both = parse(files.where(F.col("path").endswith("setup.py")), parse_setup, schema).unionByName(parse(files.where(F.col("path").endswith("pyproject.toml")), parse_pyproject, schema))
+    """repo, path, kind, requirement, pos, name, specifier of setup.py and pyproject.toml files."""
+    schema = "kind string, requirement string, pos bigint"
+
+    def placed(function):
+        return lambda path, text: [{**row, "pos": i} for i, row in enumerate(function(path, text))]
+
+    name = F.substring_index("path", "/", -1)
+    both = parse(files.where(name == "setup.py"), placed(parse_setup), schema).unionByName(parse(files.where(name == "pyproject.toml"), placed(parse_pyproject), schema))
     name = F.regexp_extract("requirement", r"^\s*([A-Za-z0-9][\w.-]*)", 1)
     spec = F.regexp_extract("requirement", r"^\s*[A-Za-z0-9][\w.-]*\s*(?:\[[^\]]*\])?\s*([^;]*)", 1)
     return both.withColumn("name", name).withColumn("specifier", F.nullif(F.trim(spec), F.lit("")))
