@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,20 +17,42 @@ def numbered(df: DataFrame, base: Column, seq: str, out: str) -> DataFrame:
     return named.withColumn(out, F.when(F.col("_n") == 1, F.col("_base")).otherwise(F.concat("_base", F.lit("-"), F.col("_n").cast("string")))).drop("_base", "_n")
 
 
-def claimed(df: DataFrame, base: Column, seq: str, out: str, most_rounds: int = 100) -> DataFrame:
-    """As ``numbered``, but a made-up id never meets another one: rows whose id an
-    earlier row has take the next number, until all ids differ.
-
-    A row yields only to rows before it, and every round fixes at least the first
-    row of each disputed id."""
-    named = df.withColumn("_base", base).withColumn("_k", F.lit(1))
-    for _ in range(most_rounds):
-        current = F.when(F.col("_k") == 1, F.col("_base")).otherwise(F.concat("_base", F.lit("-"), F.col("_k").cast("string")))
-        named = named.withColumn(out, current).withColumn("_rank", F.row_number().over(Window.partitionBy(out).orderBy("_k", seq)))
-        if named.where("_rank > 1").isEmpty():
-            return named.drop("_base", "_k", "_rank")
-        named = named.withColumn("_k", F.when(F.col("_rank") > 1, F.col("_k") + F.col("_rank") - 1).otherwise(F.col("_k"))).drop("_rank", out)
-    raise RuntimeError(f"ids still collide after {most_rounds} rounds")
+def claimed(df: DataFrame, base: Column, seq: str, out: str) -> DataFrame:
+    """As ``numbered``, but an id is free only if no earlier row has it, be it made up
+    or as given: in order of ``seq``, a row takes its base, or else the first free of
+    ``base-2``, ``base-3``, …
+
+    A made-up id can only meet a base that ends in its number. Bases that are alike
+    but for such endings are a family; families of one base are numbered by a
+    window, and only the others are gone through in order, by name and number alone."""
+    from ..session import ship
+
+    ship(df.sparkSession)
+    stem = F.regexp_replace("_base", r"(-([2-9]|[1-9][0-9]+))+$", "")
+    named = df.withColumn("_base", base).withColumn("_n", F.row_number().over(Window.partitionBy("_base").orderBy(seq)))
+    bases = df.select(base.alias("_base")).distinct()
+    families = bases.groupBy(stem.alias("_family")).agg(F.count(F.lit(1)).alias("_bases")).where("_bases > 1").select("_family")
+    disputed = named.select("_base", "_n", F.col(seq).alias("_seq")).withColumn("_family", stem).join(families, "_family")
+    claims = disputed.groupBy("_family").applyInPandas(_claim, "_base string, _n int, _id string")
+    plain = F.when(F.col("_n") == 1, F.col("_base")).otherwise(F.concat("_base", F.lit("-"), F.col("_n").cast("string")))
+    return named.join(claims, ["_base", "_n"], "left").withColumn(out, F.coalesce("_id", plain)).drop("_base", "_n", "_id")
+
+
+def _claim(frame: pd.DataFrame) -> pd.DataFrame:
+    frame = frame.sort_values(["_seq", "_base", "_n"], kind="stable")
+    taken: set[str] = set()
+    following: dict[str, int] = {}
+    got = []
+    for name in frame["_base"]:
+        made = name
+        if name in taken:
+            n = following.get(name, 2)
+            while (made := f"{name}-{n}") in taken:
+                n += 1
+            following[name] = n + 1
+        taken.add(made)
+        got.append(made)
+    return frame.assign(_id=got)[["_base", "_n", "_id"]]
 
 
 def safe_basenames(df: DataFrame, subject_id: str, out: str) -> DataFrame:
