@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from declarium.llm import exact_dedup, mixing, packing, quality, simhash
+from declarium.llm import exact_dedup, mixing, packing, quality
+from declarium.llm import near_dedup as near_dedup_by
 from declarium.llm.queries import tokenizer_path
 from declarium.llm.shared import written
 
@@ -28,10 +29,10 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that with the smallest id; the
-    operator's contract holds: shingles of three words, and fingerprints that
-    differ in at most 3 of 64 bits link."""
-    return simhash.apply(docs)
+    """One document of each group of near-duplicates, that with the smallest id:
+    texts link by op3's contract (shingles of three words, at most 3 of 64 bits), or
+    if their five-word shingles have a similarity of 0.8 or more."""
+    return near_dedup_by.apply(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
