@@ -450,6 +450,14 @@ def q_pin_conflict(spark, sf):
     return merge.pin_conflicts(o).withColumn("pins", F.array_join("pins", ","))
 
 
+@query(f"""WITH p AS (SELECT DISTINCT 'p' || l_partkey AS component, c[3:] AS pin FROM (SELECT l_partkey, {_PINS} AS c FROM lineitem) WHERE c LIKE '==%')
+SELECT component, string_agg(pin, ',' ORDER BY pin) AS pins, arg_min(pin, regexp_extract(pin, '[.]([0-9]+)', 1)::INT * 2 + CASE WHEN pin LIKE '%rc1' THEN 0 ELSE 1 END) AS kept FROM p GROUP BY 1 HAVING count(*) > 1""")
+def q_pin_conflict_all(spark, sf):
+    pins = "CASE WHEN l_linenumber % 3 = 0 THEN '>=1' ELSE concat('==1.', l_suppkey % 12, CASE WHEN l_linenumber % 2 = 0 THEN 'rc1' ELSE '' END) END"
+    o = _t(spark, sf, "lineitem").select(F.expr("concat('p', l_partkey)").alias("component"), F.expr(pins).alias("version_constraint"))
+    return merge.pin_conflicts(o).withColumn("pins", F.array_join("pins", ","))
+
+
 @query("SELECT 'patched_build' AS code, p_name AS subject, 'built as ' || p_size || ' from ' || (p_partkey % 50) AS detail FROM part WHERE p_size <> p_partkey % 50 AND p_partkey % 4 <> 0")
 def q_patched_build(spark, sf):
     c = _t(spark, sf, "part").select(F.col("p_name").alias("name"), F.expr("CASE WHEN p_partkey % 4 <> 0 THEN string(p_partkey % 50) END").alias("source_version"), F.col("p_size").cast("string").alias("effective_version"))
