@@ -96,19 +96,44 @@ def substrings(rows, size=20):
     return out
 
 
-def line_pairs(rows, min_words=4, rare=8):
-    """rows (id, text), distinct, to pairs (earlier, later)."""
-    holders = defaultdict(list)
-    for i, text in sorted(rows, key=lambda r: order(r[0])):
-        for line in {x.strip("\t\n\v\f\r ") for x in (text or "").split("\n")}:
-            if len(words(line)) >= min_words:
-                holders[line].append((i, text))
-    out = set()
-    for own in holders.values():
-        if len(own) <= rare:
-            out |= {(a, b) for k, b in enumerate(own) for a in own[:k]}
-        else:
-            out |= {(own[0], b) for b in own[1:]}
+def line_removals(rows, patience, min_words=4):
+    """rows (id, text), distinct and in order, to the set of lines that go from each.
+
+    Long lines: by alignment with every earlier document. Short ones: with a block
+    of the first holder of one of the long lines. A document with the long lines of
+    an earlier one is aligned with the first such alone."""
+    lines = [[x.strip("\t\n\v\f\r ") for x in (t or "").split("\n")] for _, t in rows]
+    at = [[k for k, x in enumerate(own) if len(words(x)) >= min_words] for own in lines]
+    long = [[own[k] for k in where] for own, where in zip(lines, at)]
+
+    def stretch(d, k):
+        """The lines of document d before its k-th long line."""
+        lo, hi = ([-1, *at[d]][k] + 1, [*at[d], len(lines[d])][k])
+        return list(range(lo, hi)), [" ".join(lines[d][x].split()) and lines[d][x] for x in range(lo, hi)]
+
+    def side(a, b, m):
+        out = set()
+        for i, j in m:
+            if (i, j) == (0, 0) or (i - 1, j - 1) in m:
+                out |= set(stretch(b, j)[0]) if stretch(a, i)[1] == stretch(b, j)[1] else set()
+        if (i, j) == (len(long[a]) - 1, len(long[b]) - 1) and stretch(a, i + 1)[1] == stretch(b, j + 1)[1]:
+            out |= set(stretch(b, j + 1)[0])
+        return out
+
+    holders, first_of, out = defaultdict(list), {}, []
+    for b in range(len(rows)):
+        gone, key = set(), tuple(long[b])
+        same = first_of.setdefault(key, b) if key else b
+        near = {same} if same != b else {holders[x][0] for x in key if holders[x]}
+        for a in {same} if same != b else {a for x in key for a in holders[x]}:
+            m = patience(long[a], long[b])
+            gone |= {at[b][j] for _, j in m}
+            if m and a in near:
+                gone |= side(a, b, m)
+        if same == b:
+            for x in set(key):
+                holders[x].append(b)
+        out.append(gone)
     return out
 
 

@@ -1,5 +1,7 @@
+import random
+
 import brute
-import numpy as np
+import pytest
 from conftest import DOCS
 from hypothesis import given
 from hypothesis import strategies as st
@@ -21,33 +23,29 @@ def test_patience_keeps_unique_anchors_in_order():
 
 
 def expected(rows):
-    """Aligned by the operator's own patience diff (tested above); pairs, blocks and removal from the definitions."""
-    gone = {r: set() for r in rows}
-    strip = lambda t: [x.strip("\t\n\v\f\r ") for x in (t or "").split("\n")]
-    for a, b in brute.line_pairs(rows):
-        x, y = strip(a[1]), strip(b[1])
-        gone[b] |= set(line_dedup.common_lines(x, y, [len(brute.words(s)) >= 4 for s in y]))
+    """Aligned by the operator's own patience diff (tested above) with all earlier documents."""
     out = []
-    for i, t in rows:
+    for (i, t), gone in zip(rows, brute.line_removals(rows, line_dedup.patience)):
         lines = (t or "").split("\n")
-        out.append((i, len(lines), len(gone[i, t]), brute.sha("\n".join(x for k, x in enumerate(lines) if k not in gone[i, t]))))
+        out.append((i, len(lines), len(gone), brute.sha("\n".join(x for k, x in enumerate(lines) if k not in gone))))
     return out
 
 
 def show(frame):
-    return sorted((None if i is None or i != i else int(i), int(a), int(b), s) for i, a, b, s in frame.itertuples(index=False)) if frame["doc_id"].notna().all() else sorted(map(repr, frame.itertuples(index=False)))
+    return sorted((None if i is None or i != i else int(i), int(a), int(b), s) for i, a, b, s in frame.itertuples(index=False))
 
 
 def test_all_documents(query, real):
-    want = expected([(i, t) for i, t, _, _ in real])
+    want = expected(sorted((i, t) for i, t, _, _ in real))
     assert show(query("op1_line_dedup")) == sorted(want)
     assert any(n for _, _, n, _ in want)
 
 
 def test_edge_cases(docs):
     rows = [tuple(r) for r in line_dedup.deduplicate(docs, digest=True).collect()]
-    # of two texts with one id the order is by hash: leave id 9 to the size check
-    want = {(i, t): w for (i, t), w in zip(sorted({(d[0], d[1]) for d in DOCS}, key=repr), expected(sorted({(d[0], d[1]) for d in DOCS}, key=repr)))}
+    # the two texts of id 9 share no long line, so their order doesn't matter
+    own = sorted({(d[0], d[1]) for d in DOCS}, key=lambda r: (brute.order(r[0]), r[1] or ""))
+    want = {(i, t): w for (i, t), w in zip(own, expected(own))}
     assert len(rows) == len(DOCS)
     assert sorted(map(repr, rows)) == sorted(repr(want[d[0], d[1]]) for d in DOCS)
 
@@ -56,14 +54,35 @@ def test_empty(none):
     assert line_dedup.deduplicate(none).collect() == []
 
 
-def test_rare_and_frequent_lines(spark):
-    line = "this very line is in many documents"
-    rows = [(i, f"own words of document {i}\n{line}\nand an end {i}") for i in range(30)]
-    got = {r.id: r for r in line_dedup.deduplicate(spark.createDataFrame(rows, "doc_id bigint, text string"), rare=4).collect()}
-    assert got[0].n_removed == 0 and all(got[i].n_removed == 1 and line not in got[i].kept_text for i in range(1, 30))
+def removed(spark, texts, **options):
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    return [r.n_removed for r in sorted(line_dedup.deduplicate(frame, **options).collect())]
+
+
+@pytest.mark.parametrize("copies", [8, 9, 100])
+def test_as_many_lines_go_at_any_frequency(spark, copies):
+    lines = [f"line number {k} with words" for k in range(3)]
+    assert removed(spark, ["\n".join(lines)] + ["\n".join(lines[::-1])] * (copies - 1)) == [0, 1, *[3] * (copies - 2)]
+
+
+def made_up(seed, n=60):
+    """Texts of few lines, so that they are frequent, out of order and repeated."""
+    draw = random.Random(seed)
+    pool = [f"frequent line {k} of many" for k in range(7)] + [f"rarer line {k} of some" for k in range(60)] + ["short", "", "- 3 -"]
+    weights = [9] * 7 + [1] * 60 + [6, 12, 4]
+    return ["\n".join(draw.choices(pool, weights, k=draw.randint(1, 9)) + [f"line of text {i} alone"] * draw.randint(0, 1)) for i in range(n)]
+
+
+@pytest.mark.parametrize("rare", [1, 3, 8])
+def test_frequent_lines_lose_no_pair(spark, rare):
+    texts = [t for seed in range(3) for t in made_up(seed)]
+    want = [len(g) for g in brute.line_removals(list(enumerate(texts)), line_dedup.patience)]
+    assert removed(spark, texts, rare=rare) == want
 
 
-def test_blocks_need_a_strong_line():
-    a = np.array([1, 2, 3, 4]).tolist()
-    assert line_dedup.common_lines(a, a, [False] * 4) == []
-    assert line_dedup.common_lines(a, [9, *a], [False, False, True, False, False]) == [1, 2, 3, 4]
+def test_stretches_go_with_their_block(spark):
+    a = "Title\nthe first line of all\n\nthe second line of all\n- 1 -\nthe third line of all\nend"
+    b = a.replace("- 1 -", "- 2 -")
+    frame = spark.createDataFrame([(0, a), (1, b), (2, "other\n" + a + "\nmore")], "doc_id bigint, text string")
+    got = {r.id: r.kept_text for r in line_dedup.deduplicate(frame).collect()}
+    assert got == {0: a, 1: "- 2 -", 2: "other\nTitle\nend\nmore"}
