@@ -15,8 +15,7 @@ Defined results
   every other id.
 * rows that repeat both id and text are one document: ``annotate`` flags all
   of them alike, ``deduplicate`` returns one of them.
-* an empty table gives an empty result; extra columns are left as they are,
-  and names starting with ``_x_`` are used internally.
+* an empty table gives an empty result; extra columns are left as they are.
 """
 
 from __future__ import annotations
@@ -26,6 +25,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import fresh
+
 
 @dataclass(frozen=True)
 class Columns:
@@ -61,31 +62,30 @@ def heavy_digests(df: DataFrame, id_col: str, text_col: str, candidates: int = 1
     return [(r["_x_digest"], r["n"], r["best"]["id"], r["best"]["n"]) for r in found.collect()]
 
 
-def _split(df: DataFrame, id_col: str, text_col: str, candidates: int) -> tuple[DataFrame, DataFrame]:
+def _split(df: DataFrame, id_col: str, text_col: str, candidates: int) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Rows of the winners, all other rows, and the names of what is added: digest, size, keep, ties."""
+    names = of, size, keep, ties = fresh(df, "digest", "size", "keep", "ties")
     heavy = heavy_digests(df, id_col, text_col, candidates)
     kind = df.schema[id_col].dataType.simpleString()
-    table = df.sparkSession.createDataFrame(heavy, f"_x_digest binary, _x_size bigint, _x_keep {kind}, _x_ties bigint")
-    rows = df.withColumn("_x_digest", digest(text_col))
-    marked = rows.join(F.broadcast(table), "_x_digest", "left")
-    return marked.where(F.col("_x_size").isNotNull()), marked.where(F.col("_x_size").isNull()).drop("_x_size", "_x_keep", "_x_ties")
+    table = df.sparkSession.createDataFrame(heavy, f"{of} binary, {size} bigint, {keep} {kind}, {ties} bigint")
+    rows = df.withColumn(of, digest(text_col))
+    marked = rows.join(F.broadcast(table), of, "left")
+    return marked.where(F.col(size).isNotNull()), marked.where(F.col(size).isNull()).drop(size, keep, ties), names
 
 
 def annotate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", candidates: int = 1024, names: Columns = Columns()) -> DataFrame:
     """``df`` without its text, with the id that stays, the group's size, whether
     this row stays, and the SHA-256 of the text, for every row."""
-    slim = df.select(id_col, text_col)
-    heavy, light = _split(slim, id_col, text_col, candidates)
-    group = Window.partitionBy("_x_digest")
-    light = light.drop(text_col).select(
-        id_col, "_x_digest", F.count(F.lit(1)).over(group).alias("_x_size"), F.max(id_col).over(group).alias("_x_keep")
-    )
-    both = heavy.select(id_col, "_x_digest", "_x_size", "_x_keep").unionByName(light)
+    heavy, light, (of, size, keep, _) = _split(df.select(id_col, text_col), id_col, text_col, candidates)
+    group = Window.partitionBy(of)
+    light = light.drop(text_col).select(id_col, of, F.count(F.lit(1)).over(group).alias(size), F.max(id_col).over(group).alias(keep))
+    both = heavy.select(id_col, of, size, keep).unionByName(light)
     return both.select(
         F.col(id_col),
-        F.col("_x_keep").alias(names.keep_id),
-        F.col("_x_size").alias(names.group_size),
-        F.col(id_col).eqNullSafe(F.col("_x_keep")).alias(names.kept),
-        F.lower(F.hex("_x_digest")).alias(names.digest),
+        F.col(keep).alias(names.keep_id),
+        F.col(size).alias(names.group_size),
+        F.col(id_col).eqNullSafe(F.col(keep)).alias(names.kept),
+        F.lower(F.hex(of)).alias(names.digest),
     )
 
 
@@ -94,11 +94,11 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
 
     Copies of a winner other than the one that stays are dropped on the map side,
     before any shuffle."""
-    heavy, light = _split(df, id_col, text_col, candidates)
-    first = F.row_number().over(Window.partitionBy("_x_digest").orderBy(F.col(id_col).desc_nulls_last()))
-    light = light.withColumn("_x_rank", first).where("_x_rank = 1").drop("_x_rank")
-    staying = heavy.where(F.col(id_col).eqNullSafe(F.col("_x_keep")))
+    heavy, light, (of, size, keep, ties) = _split(df, id_col, text_col, candidates)
+    first = F.row_number().over(Window.partitionBy(of).orderBy(F.col(id_col).desc_nulls_last()))
+    light = light.withColumn(keep, first).where(F.col(keep) == 1).drop(keep)
+    staying = heavy.where(F.col(id_col).eqNullSafe(F.col(keep)))
     # rows that also repeat the id: the partial aggregation leaves one for each task
-    tied = staying.where("_x_ties > 1").drop("_x_size", "_x_keep", "_x_ties").dropDuplicates(["_x_digest"])
-    staying = staying.where("_x_ties = 1").drop("_x_size", "_x_keep", "_x_ties")
+    tied = staying.where(F.col(ties) > 1).drop(size, keep, ties).dropDuplicates([of])
+    staying = staying.where(F.col(ties) == 1).drop(size, keep, ties)
     return light.unionByName(staying).unionByName(tied).select(df.columns)

@@ -292,8 +292,8 @@ def predict(df: DataFrame, models: Models, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            for lo in range(0, len(batch), 128):
-                part = batch.slice(lo, 128)
+            for lo, hi, _, _ in tk.pieces(batch.column(1), 1 << 19):
+                part = batch.slice(lo, hi - lo)
                 langs, score, rejected = own.predict(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(langs, pa.string()), pa.array(score, pa.float64()), pa.array(rejected)], ["id", "lang_pred", "score", "rejected"])
 

@@ -135,15 +135,10 @@ def apply(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     """One row of each group: that with the smallest id (of rows that repeat it,
     one); columns as in ``df``."""
     kind = df.schema[id_col].dataType.simpleString()
-    keyed = df.withColumn("_x_key", F.xxhash64(text_col))
-    rows = checkpointed(map_arrow(keyed.select(id_col, text_col, "_x_key"), _measure, f"id {kind}, key bigint, fp bigint, bands array<bigint>"))
+    keyed = df.select(F.col(id_col), F.col(text_col), F.xxhash64(text_col))
+    rows = checkpointed(map_arrow(keyed, _measure, f"id {kind}, key bigint, fp bigint, bands array<bigint>"))
     order = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key"))
     firsts = rows.groupBy("key").agg(order.alias("first")).join(labels(df, text_col, rows), "key")
-    stay = firsts.groupBy("label").agg(F.min("first").alias("first")).select(F.col("first.id").alias("_x_id"), F.col("first.key").alias("_x_k"))
-    stay = checkpointed(stay)
-    same = F.col(id_col).eqNullSafe(F.col("_x_id")) & (F.col("_x_key") == F.col("_x_k"))
+    stay = checkpointed(firsts.groupBy("label").agg(F.min("first").alias("first")).select("first.id", "first.key"))
     repeated = rows.groupBy("id", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").take(1)
-    out = keyed.join(stay, same, "left_semi")
-    if repeated:
-        out = out.dropDuplicates([id_col, "_x_key"])
-    return out.select(df.columns)
+    return simhash.only(df, id_col, text_col, stay, bool(repeated))

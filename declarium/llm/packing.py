@@ -34,106 +34,156 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import textkit as tk
 from .shared import checkpointed, map_arrow
 
 CAPACITY, END = 4096, 1
-CACHE = 400_000
-#: Characters at which str.split() and the tokenizers' own notion of white space may differ.
-_ODD = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‏    ⁠　﻿]")
+CACHE = 1_400_000
+_SLOTS = 22  # bits
 _END_BYTES = END.to_bytes(4, "little")
 
-
 #: Words whose parts can be told here: no special tokens, combining marks or context-dependent case.
 _PLAIN = re.compile("(?!.*<\\|)[!-~\xa1-\u02af\u0400-\u052f]+")
 _PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-
-
-class Generations:
-    """A cache of at most about twice ``CACHE`` entries: when the younger half is
-    full it becomes the older one, from which entries in use are taken over."""
-
-    def __init__(self, make):
-        self.make = make  # list of keys to list of values
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def load(self, keys: set[str]) -> dict[str, bytes]:
-        """A dict that has all of ``keys``."""
-        missing = keys.difference(self.new)
-        if missing:
-            if len(self.new) + len(missing) > CACHE and self.new:
-                self.old, self.new, missing = self.new, {}, keys
-            again = missing & self.old.keys()
-            self.new.update(zip(again, map(self.old.__getitem__, again), strict=True))
-            unknown = list(missing - again)
-            if unknown:
-                self.new.update(zip(unknown, self.make(unknown), strict=True))
-        return self.new
+_LETTER, _SIGN, _ODD = (np.zeros(256, bool) for _ in range(3))
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+_SIGN[[b for b in range(0x21, 0x7F) if not chr(b).isalnum()]] = True
+_ODD[[*range(0xCB, 0xD0), *range(0xD5, 0x100)]] = True  # first bytes of characters that are not plain
+
+
+def units(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Bytes, starts, ends and bounds by row of what is tokenized by itself: words,
+    in lower case where that can't matter; signs behind the last letter, if that is
+    ASCII, are a unit of their own."""
+    special = np.flatnonzero((data[:-1] == 0x3C) & (data[1:] == 0x7C))  # "<|", as special tokens have
+    low, odd, whole = tk.LOWER[data], np.concatenate([np.flatnonzero(_ODD[data]), special]), np.zeros(len(starts), bool)
+    if len(odd):
+        whole[np.searchsorted(starts, special, "right") - 1] = True
+        step = np.zeros(len(data) + 1, np.int8)
+        own = np.unique(np.searchsorted(starts, odd, "right") - 1)
+        step[starts[own]] += 1
+        step[ends[own]] -= 1
+        raw = np.cumsum(step[:-1], dtype=np.int8) > 0
+        low[raw] = data[raw]
+    last = np.maximum.accumulate(np.where(_SIGN[data], -1, np.arange(len(data)))) if len(data) else data
+    stem = last[ends - 1]
+    cut = (stem >= starts) & (stem < ends - 1) & ~whole
+    cut[cut] = _LETTER[data[stem[cut]]]
+    n = np.cumsum(cut)
+    at = np.arange(len(starts)) + n  # of the last unit of each word
+    new_starts, new_ends = np.empty(len(starts) + int(n[-1] if len(n) else 0), np.int64), np.empty(len(starts) + int(n[-1] if len(n) else 0), np.int64)
+    new_starts[at], new_ends[at] = np.where(cut, stem + 1, starts), ends
+    new_starts[at[cut] - 1], new_ends[at[cut] - 1] = starts[cut], stem[cut] + 1
+    return low, new_starts, new_ends, first + np.concatenate([[0], n])[first]
 
 
 class Encoder:
-    """Token ids of whole texts, as little-endian bytes, for vocabularies whose
-    pre-tokenizer parts text at white space and into runs of letters, single
-    digits and runs of signs, after lower-casing.
+    """Token ids of whole texts, for vocabularies of at most 65,536 ids whose
+    pre-tokenizer parts text at white space and into runs of letters, single digits
+    and runs of signs, after lower-casing.
 
-    The ids of a text are those of its words, and the ids of a plain word those
-    of its parts; both are cached. Texts with unusual white space and other words
-    go to the tokenizer whole."""
+    The ids of a text are those of its words. The words of many texts are found and
+    hashed (64 bits) at once and looked up in an open table; what it doesn't have is
+    tokenized and entered. Plain words consist of parts that go straight to the
+    merges; words with unusual characters go to the tokenizer whole. The table is
+    emptied when it has more than ``CACHE`` words, so memory stays bounded."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words = Generations(self._of_words)
-        self.parts = Generations(self._of_parts)
-
         # the letters that stand for the bytes of UTF-8 in byte-level vocabularies
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in set(shown)]
-        self.coded = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
         self.letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys = np.zeros(1 << _SLOTS, np.uint64)  # hashes, 0 where a slot is free
+        self.word = np.zeros(1 << _SLOTS, np.int32)  # number of the word in each slot
+        self.known = 0
+        self.start = np.zeros(1 << 14, np.int64)  # where the ids of each word are in pool
+        self.pool, self.used = np.zeros(1 << 16, np.uint16), 0
 
-    def _of_texts(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+    def _of_texts(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _of_parts(self, parts: list[str]) -> list[bytes]:
+    def _of_part(self, part: str) -> list[int]:
         """Plain parts go straight to the merges, the rest to the whole tokenizer."""
-        out, rest, merge, letters, coded = [], [], self.tokenizer.model.tokenize, self.letters, self.coded
-        for i, part in enumerate(parts):
-            if not (part.isascii() and part.isalpha()):
-                if not _PLAIN.fullmatch(part):
-                    rest.append(i)
-                    out.append(b"")
-                    continue
-                part = "".join([letters[b] for b in part.encode()])
-            out.append(b"".join([coded[t.id] for t in merge(part)]))
-        if rest:
-            for i, ids in zip(rest, self._of_texts([parts[i] for i in rest]), strict=True):
-                out[i] = ids
+        if not part.isascii():
+            if not _PLAIN.fullmatch(part):
+                return self._of_texts([part])[0]
+            part = "".join([self.letters[b] for b in part.encode()])
+        return [t.id for t in self.tokenizer.model.tokenize(part)]
+
+    def _of_word(self, word: str) -> list[int]:
+        if word.isascii() and word.isalpha():
+            return [t.id for t in self.tokenizer.model.tokenize(word.lower())]
+        parts = _PARTS.findall(word.lower()) if _PLAIN.fullmatch(word) else None
+        return self._of_texts([word])[0] if parts is None else list(chain.from_iterable(map(self._of_part, parts)))
+
+    def _learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
+        """Enter words whose distinct hashes the table doesn't have."""
+        ids = [self._of_word(w.decode()) for w in words]
+        n, sizes = self.known, np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter(chain.from_iterable(ids), np.uint16, int(sizes.sum()))
+        while n + len(ids) >= len(self.start):
+            self.start = np.concatenate([self.start, np.zeros_like(self.start)])
+        while self.used + len(flat) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        self.start[n : n + len(ids) + 1] = self.used + np.concatenate([[0], np.cumsum(sizes)])
+        self.pool[self.used : self.used + len(flat)] = flat
+        self.used += len(flat)
+        self.known += len(ids)
+        slot, left = (hashes >> np.uint64(64 - _SLOTS)).astype(np.int64), np.arange(len(hashes))
+        while len(left):
+            free = self.keys[slot[left]] == 0
+            self.keys[slot[left[free]]] = hashes[left[free]]  # of several for a slot, one stays
+            done = self.keys[slot[left]] == hashes[left]
+            self.word[slot[left[done]]] = n + left[done]
+            left = left[~done]
+            slot[left] = (slot[left] + 1) % len(self.keys)
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of each word, or -1."""
+        slot = (hashes >> np.uint64(64 - _SLOTS)).astype(np.int64)
+        out = np.full(len(hashes), -1, np.int32)
+        left = np.arange(len(hashes))
+        while len(left):
+            at = slot[left]
+            key = self.keys[at]
+            hit = key == hashes[left]
+            out[left[hit]] = self.word[at[hit]]
+            left = left[~hit & (key != 0)]
+            slot[left] = (slot[left] + 1) % len(self.keys)
         return out
 
-    def _of_words(self, words: list[str]) -> list[bytes]:
-        parts = []
-        for word in words:
-            stem, sign = (word[:-1], word[-1]) if word[-1] in ".,;:!?" else (word, "")
-            if not (stem.isascii() and stem.isalpha()):
-                if not _PLAIN.fullmatch(word):
-                    parts.append((word,))
-                    continue
-                if not stem.isalpha():
-                    parts.append(_PARTS.findall(word.lower()))
-                    continue
-            parts.append((stem.lower(), sign) if sign else (stem.lower(),))
-        known = self.parts.load(set(chain.from_iterable(parts)))
-        return [known[p[0]] if len(p) == 1 else b"".join([known[x] for x in p]) for p in parts]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text, without an end token."""
-        split = [None if text and _ODD.search(text) else (text or "").split() for text in texts]
-        known = self.words.load(set(chain.from_iterable(filter(None, split)))).__getitem__
-        return [self._of_texts([t])[0] if w is None else b"".join(map(known, w)) for t, w in zip(texts, split, strict=True)]
+    def _numbers(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        hashes = np.maximum(tk.span_hash(data, starts, ends), np.uint64(1))
+        if self.known + len(hashes) > CACHE + tk.CHUNK // 2:
+            self._forget()
+        found = self._find(hashes)
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            some, at = np.unique(hashes[new], return_index=True)
+            raw, at = data.tobytes(), new[at]
+            self._learn(some, [raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
+            found[new] = self._find(hashes[new])
+        return found
+
+    def encode(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Ids of consecutive texts without end tokens, and the bounds of each text's ids."""
+        for _, _, data, offsets in tk.pieces(texts):
+            low, starts, ends, first = units(data, *tk.spans(data, offsets))
+            bounds, parts, most = [np.zeros(1, np.int64)], [], tk.CHUNK // 2
+            for lo in range(0, max(len(starts), 1), most):  # of a very long text, so that the table holds its words
+                word = self._numbers(low, starts[lo : lo + most], ends[lo : lo + most])
+                size = self.start[word + 1] - self.start[word]
+                after = np.cumsum(size)
+                parts.append(self.pool[np.repeat(self.start[word] - after + size, size) + np.arange(size.sum())].astype("<u4"))
+                bounds.append(after + bounds[-1][-1])
+            yield np.concatenate(parts), np.concatenate(bounds)[first]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -150,28 +200,29 @@ def _cutter(path: str, capacity: int, with_ids: bool):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        task, ranks = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        task, ranks = TaskContext.get().partitionId(), [0] * (capacity + 1)
         tokens = encoder(path)
         for batch in batches:
-            for lo in range(0, len(batch), 256):
-                part = batch.slice(lo, 256)
+            at = 0
+            for found, bounds in tokens.encode(batch.column(1)):
                 rows, piece, start, length, crc, rank, ids = [], [], [], [], [], [], []
-                for i, raw in enumerate(tokens.encode(part.column(1).to_pylist())):
-                    raw += _END_BYTES
-                    view = memoryview(raw)
-                    for k, at in enumerate(range(0, len(raw) // 4, capacity)):
-                        own = view[4 * at : 4 * (at + capacity)]
-                        n = len(own) // 4
-                        rows.append(i)
+                raw = memoryview(found.tobytes())
+                for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                    for k, own in enumerate(range(lo, hi + 1, capacity)):
+                        n = min(capacity, hi + 1 - own)
+                        ended = own + n > hi  # the end token is the last id
+                        body = raw[4 * own : 4 * (own + n - ended)]
+                        rows.append(at)
                         piece.append(k)
-                        start.append(at)
+                        start.append(own - lo)
                         length.append(n)
-                        crc.append(zlib.crc32(own))
+                        crc.append(zlib.crc32(_END_BYTES, zlib.crc32(body)) if ended else zlib.crc32(body))
                         rank.append(ranks[n])
                         ranks[n] += 1
                         if with_ids:
-                            ids.append(np.frombuffer(own, "<u4").astype(np.int32))
-                columns = [part.column(0).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32())]
+                            ids.append(np.frombuffer(bytes(body) + _END_BYTES * ended, "<u4").astype(np.int32))
+                    at += 1
+                columns = [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32())]
                 columns += [pa.array(c, pa.int64()) for c in (start, length, crc)] + [pa.array([task] * len(rows), pa.int32()), pa.array(rank, pa.int64())]
                 names = ["id", "piece", "start", "length", "ids_crc32", "task", "rank"]
                 if with_ids:

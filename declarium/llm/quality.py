@@ -5,7 +5,7 @@ hashed. Distinct documents per host are counted for each line, where exact
 copies of a text count as one document. A line is over its limit when more
 than ``max(host_docs_floor, host_share * documents of the host)`` documents of
 the host have it; it is removed from all of these but the one with the smallest
-id. A document is depleted, and rejected, when fewer than ``min_left`` of its
+id and the exact copies of its text. A document is depleted, and rejected, when fewer than ``min_left`` of its
 words are left.
 
 Defined results
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .shared import checkpointed, map_arrow
+from .shared import checkpointed, fresh, map_arrow
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -143,10 +143,10 @@ def measure(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
 
 
 def frequent_lines(base: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """(host, h, holder): the lines over their host's limit and who keeps them."""
-    lines = base.select("host", "id", "key", F.explode("lines.h").alias("h"))
-    texts = lines.groupBy("host", "h", "key").agg(F.min("id").alias("holder"))
-    held = texts.groupBy("host", "h").agg(F.count(F.lit(1)).alias("n"), F.min("holder").alias("holder"))
+    """(host, h, holder): the lines over their host's limit and the text (its hash) that keeps them."""
+    lines = base.select("host", F.struct(F.col("id").isNull().alias("none"), "id", "key").alias("no"), F.explode("lines.h").alias("h"))
+    texts = lines.groupBy("host", "h", "no.key").agg(F.min("no").alias("no"))
+    held = texts.groupBy("host", "h").agg(F.count(F.lit(1)).alias("n"), F.min("no").alias("no")).withColumn("holder", F.col("no.key"))
     held = held.where(F.col("n") > rules.host_docs_floor)
     hosts = base.groupBy("host", "key").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count(F.lit(1)).alias("docs"))
     return held.join(hosts, "host").where(F.col("n") > rules.host_share * F.col("docs")).select("host", "h", "holder")
@@ -159,7 +159,7 @@ def verdicts(
     n_removed_words, drop (hashes of its lines that go), kept."""
     base = measure(df, id_col, text_col, host_col)
     lines = base.select("host", "id", "key", F.explode("lines").alias("line")).select("host", "id", "key", "line.h", "line.w")
-    going = lines.join(frequent_lines(base, rules), ["host", "h"]).where(~F.col("id").eqNullSafe(F.col("holder")))
+    going = lines.join(frequent_lines(base, rules), ["host", "h"]).where("key <> holder")
     going = going.groupBy("host", "key", "id").agg(F.collect_set(F.struct("h", "w")).alias("gone"))
     going = going.select(F.col("host").alias("g_host"), F.col("key").alias("g_key"), F.col("id").alias("g_id"), "gone")
     same = (F.col("host") == F.col("g_host")) & (F.col("key") == F.col("g_key")) & F.col("id").eqNullSafe(F.col("g_id"))
@@ -203,10 +203,10 @@ def _cleaner(text_at: int, names: list[str]):
 
 def apply(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", rules: Rules = Rules()) -> DataFrame:
     """The kept documents, without their lines over the limits; columns as in ``df``."""
+    host, key, own, kept, drop, host1, key1, own1 = fresh(df, "host", "key", "id", "kept", "drop", "host1", "key1", "id1")
     out = verdicts(df, id_col, text_col, host_col, rules).where(~F.col("kept") | F.col("drop").isNotNull())
-    out = out.groupBy("host", "key", "id").agg(F.first("kept").alias("_x_kept"), F.first("drop").alias("_x_drop"))
-    out = out.select(F.col("host").alias("_x_h2"), F.col("key").alias("_x_k2"), F.col("id").alias("_x_i2"), "_x_kept", "_x_drop")
-    keyed = df.select(*df.columns, *[c.alias(n) for c, n in zip(_keys(df, id_col, text_col, host_col), ("_x_i1", "_x_h1", "_x_k1"), strict=True)])
-    same = (F.col("_x_h1") == F.col("_x_h2")) & (F.col("_x_k1") == F.col("_x_k2")) & F.col("_x_i1").eqNullSafe(F.col("_x_i2"))
-    staying = keyed.join(out, same, "left").where(F.coalesce("_x_kept", F.lit(True))).select(*df.columns, "_x_drop")
+    out = out.groupBy(F.col("host").alias(host), F.col("key").alias(key), F.col("id").alias(own)).agg(F.first("kept").alias(kept), F.first("drop").alias(drop))
+    keyed = df.select(*df.columns, *[c.alias(n) for c, n in zip(_keys(df, id_col, text_col, host_col), (own1, host1, key1), strict=True)])
+    same = (F.col(host1) == F.col(host)) & (F.col(key1) == F.col(key)) & F.col(own1).eqNullSafe(F.col(own))
+    staying = keyed.join(out, same, "left").where(F.coalesce(kept, F.lit(True))).select(*df.columns, drop)
     return map_arrow(staying, _cleaner(df.columns.index(text_col), df.columns), df.schema)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -12,13 +13,16 @@ from ..session import ship
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; only where that is unset (as in
-    tests, where driver and executors are one machine) a temporary folder."""
+    """The folder in ``spark.checkpoint.dir``. Only a local master, whose driver and
+    executors are one process (as in tests), gets a temporary folder where it is
+    unset; elsewhere that is an error, as a folder of one machine isn't shared."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if not folder:
         folder = context.getCheckpointDir()
         if not folder:
+            if not re.match(r"local(\[|$)", context.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='declarium-')}")
             folder = context.getCheckpointDir()
     elif not context.getCheckpointDir():
@@ -78,6 +82,20 @@ def new_folder(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names`` behind a mark that no column of ``df`` begins with."""
+    mark = "_x_"
+    while any(c.lower().startswith(mark) for c in df.columns):
+        mark += "_"
+    return [mark + n for n in names]
+
+
+def tasks(df: DataFrame) -> int:
+    """As many tasks as reading ``df`` takes, or shuffles have: for work whose cost
+    lies in what its few bytes stand for, which Spark would put in few tasks."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
+
+
 def map_arrow(df: DataFrame, function, schema) -> DataFrame:
     """``df.mapInArrow`` with the package on the workers."""
     ship(df.sparkSession)

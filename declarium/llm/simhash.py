@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import checkpointed, map_arrow
+from .shared import checkpointed, fresh, map_arrow
 
 BITS, HALF, DISTANCE = 64, 32, 3
 _BLOCK = 1 << 16
@@ -126,9 +126,9 @@ def links(entries: DataFrame, dense: int = 256) -> DataFrame:
 def group(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, dense: int = 256) -> DataFrame:
     """(id, key, fp, component_id, stays) for each row of ``df``; key is a hash of
     the text, and ``stays`` marks the smallest (id, key) of each component."""
-    rows = df.withColumn("_x_key", F.xxhash64(text_col))
+    rows = df.select(F.col(id_col), F.col(text_col), F.xxhash64(text_col))
     kind = df.schema[id_col].dataType.simpleString()
-    rows = checkpointed(map_arrow(rows.select(id_col, text_col, "_x_key"), _fingerprints(width), f"id {kind}, key bigint, fp bigint"))
+    rows = checkpointed(map_arrow(rows, _fingerprints(width), f"id {kind}, key bigint, fp bigint"))
     order = F.struct(F.col("id").isNull().alias("none"), "id", "key")
     entries = checkpointed(rows.groupBy("fp").agg(F.min(order).alias("first")))
     roots = components(links(entries.select("fp"), dense))
@@ -145,10 +145,17 @@ def apply(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     """One row of each group: that with the smallest id (of rows that repeat it,
     one); columns as in ``df``."""
     groups = group(df, id_col, text_col, width, dense).where("stays")
-    stay = checkpointed(groups.groupBy(F.col("id").alias("_x_id"), F.col("key").alias("_x_k")).agg(F.count(F.lit(1)).alias("n")))
-    repeated = stay.where("n > 1").take(1)
-    rows = df.withColumn("_x_key", F.xxhash64(text_col))
-    rows = rows.join(stay, F.col(id_col).eqNullSafe(F.col("_x_id")) & (F.col("_x_key") == F.col("_x_k")), "left_semi")
+    stay = checkpointed(groups.groupBy("id", "key").agg(F.count(F.lit(1)).alias("n")))
+    return only(df, id_col, text_col, stay.select("id", "key"), bool(stay.where("n > 1").take(1)))
+
+
+def only(df: DataFrame, id_col: str, text_col: str, stay: DataFrame, repeated: bool) -> DataFrame:
+    """The rows of ``df`` that ``stay`` (id, hash of the text) names; if some are
+    ``repeated``, one of each."""
+    of, own_id, own_key = fresh(df, "key", "stay_id", "stay_key")
+    rows = df.withColumn(of, F.xxhash64(text_col))
+    stay = stay.select(F.col("id").alias(own_id), F.col("key").alias(own_key))
+    rows = rows.join(stay, F.col(id_col).eqNullSafe(F.col(own_id)) & (F.col(of) == F.col(own_key)), "left_semi")
     if repeated:
-        rows = rows.dropDuplicates([id_col, "_x_key"])
+        rows = rows.dropDuplicates([id_col, of])
     return rows.select(df.columns)

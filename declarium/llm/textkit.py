@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 LONG = 1 << 16  # spans over this many bytes are hashed by xxhash
 
 SPACE = np.zeros(256, bool)

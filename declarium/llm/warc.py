@@ -40,7 +40,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import map_arrow, new_folder, written
+from .shared import map_arrow, new_folder, tasks, written
 
 BLOCK = 256
 LEAST = 100
@@ -228,7 +228,7 @@ def write(df: DataFrame, folder: str | None = None, id_col: str = "page_id", url
     )
     captures = written(captures, "captures")
     order = [F.col(c) for c in ORDER]
-    sorted_ = captures.withColumn("none", F.col("page_id").isNull()).repartitionByRange(*order).sortWithinPartitions(*order).drop("none")
+    sorted_ = captures.withColumn("none", F.col("page_id").isNull()).repartitionByRange(tasks(captures), *order).sortWithinPartitions(*order).drop("none")
     parts = map_arrow(sorted_, _indexer(folder, block), "key string, page_id bigint, digest string, row bigint, name string, captures bigint").collect()
     listing = sorted(([r["key"], r["page_id"], r["digest"], r["row"], r["name"]] for r in parts), key=_sort_key)
     with files.open_output_stream(f"{root}/index.json", compression=None) as f:
@@ -337,5 +337,5 @@ def read_back(df: DataFrame, folder: str, id_col: str = "page_id", url_col: str
     key = F.udf(reversed_key, "string")
     wanted = df.select(key(F.col(url_col)).alias("key"), F.col(id_col).cast("bigint").alias("page_id")).distinct()
     order = [F.col("key"), F.col("page_id").isNull(), F.col("page_id")]
-    wanted = wanted.repartitionByRange(*order).sortWithinPartitions(*order)
+    wanted = wanted.repartitionByRange(tasks(df), *order).sortWithinPartitions(*order)
     return map_arrow(wanted, _reader(folder), "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")

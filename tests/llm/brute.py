@@ -72,11 +72,11 @@ def quality(rows, floor=20, share=0.05, least=0.5):
         texts[host].add(text)
         for line in {normal(x) for x in (text or "").split("\n")} - {""}:
             held[host, line][text].append(i)
-    over = {k: min((i for x in v.values() for i in x), key=order) for k, v in held.items() if len(v) > floor and len(v) > share * len(texts[k[0]])}
+    over = {k: min(((i, t) for t, x in v.items() for i in x), key=lambda r: order(r[0]))[1] for k, v in held.items() if len(v) > floor and len(v) > share * len(texts[k[0]])}
     out = {}
     for i, text, host in docs:
         base = base_rules(text)
-        gone = sum(len(words(x)) for x in (text or "").split("\n") if (k := (host, normal(x))) in over and over[k] != i)
+        gone = sum(len(words(x)) for x in (text or "").split("\n") if (k := (host, normal(x))) in over and over[k] != text)
         failed = base[0] < 50 or 100 * base[4] > 50 * base[0]
         out[i, text, host] = (*base, failed, gone, not failed and base[0] - gone >= least * base[0])
     return out

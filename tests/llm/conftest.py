@@ -1,7 +1,7 @@
 import pytest
 
 #: Names that operators use inside or return, as further columns of the input.
-CLASH = "id key no fp size n copies digest hash rate target source_size piece start length task rank kept group_size keep_id drop lines block held_out score words k h place runs repeats gone row".split()
+CLASH = "id key no fp size n copies digest hash rate target source_size piece start length task rank kept group_size keep_id drop lines block held_out score words k h place runs repeats gone row _x_id _x_key _x_h2 _x_digest _x_size _x_keep _x_words _X_copies".split()
 
 BASE = " ".join(f"word{i} of line" for i in range(30))
 SHARED = " ".join(f"shared{i}" for i in range(25))

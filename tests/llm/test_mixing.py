@@ -1,11 +1,11 @@
+import random
 from collections import defaultdict
 
 import brute
 import numpy as np
 import pandas as pd
+import pytest
 from conftest import DOCS
-from hypothesis import given
-from hypothesis import strategies as st
 
 from declarium.llm import mixing
 
@@ -39,6 +39,12 @@ def test_all_documents(query, real):
         assert abs(taken[s] - goal) <= 0.03 * goal + 100, s
 
 
+def test_broadcast_or_not(spark, docs, monkeypatch):
+    few = sorted(map(repr, mixing.mix(docs).collect()))
+    monkeypatch.setattr(mixing, "SMALL", 0)
+    assert sorted(map(repr, mixing.mix(docs).collect())) == few
+
+
 def test_reruns_agree(spark, sf, query):
     from declarium.llm.queries import op7_mixing
 
@@ -46,12 +52,25 @@ def test_reruns_agree(spark, sf, query):
     pd.testing.assert_frame_equal(again.sort_values("doc_id", ignore_index=True), query("op7_mixing").sort_values("doc_id", ignore_index=True))
 
 
-@given(st.lists(st.tuples(st.integers(0, 10_000), st.sampled_from([5.0, 2.0, 1.0])), min_size=1, max_size=12))
-def test_water_fill(parts):
-    totals, weights = [t for t, _ in parts], [w for _, w in parts]
-    got = mixing.water_fill(totals, weights)
-    assert np.allclose(got, brute.water(totals, weights), rtol=1e-6, atol=1e-3)
-    assert abs(sum(got) - sum(totals)) <= 1e-6 * (1 + sum(totals))
+@pytest.mark.parametrize("seed", range(4))
+def test_water_fill(spark, seed):
+    draw = random.Random(seed)
+    names = [None, *(f"s{k}" for k in range(draw.randint(1, 12)))]
+    rows = [(s, draw.choice([0, 3, 500, 10_000]), 1) for s in names]
+    table = mixing.sources(spark.createDataFrame(rows, "source string, size bigint, n bigint"))
+    got = {r.source: (r.target, r.weight) for r in mixing.water_fill(table).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or ""))
+    weights = [(5.0, 2.0, 1.0)[k % 3] for k in range(len(order))]
+    want = brute.water([r[1] for r in order], weights)
+    assert [got[r[0]][1] for r in order] == weights
+    assert np.allclose([got[r[0]][0] for r in order], want, rtol=1e-6, atol=1e-3)
+
+
+def test_many_sources(spark):
+    sized = spark.range(300_000).selectExpr("id", "lpad(id % 100000, 6, '0') AS source", "1 + id % 97 AS size", "1L AS n")
+    table = mixing.balance_sources(mixing.water_fill(mixing.sources(sized)))
+    r = table.selectExpr("count(*)", "sum(target)", "sum(total)", "max(abs(total * rate - target) / target)", "sum(weight)").first()
+    assert r[0] == 100_000 and abs(r[1] - r[2]) < 1e-6 * r[2] and r[3] < 1e-9 and r[4] == 33_333 * 8 + 5
 
 
 def test_entropy_balance_of_two_constraint_columns(spark):
@@ -77,7 +96,7 @@ def test_edge_cases(docs, none):
 
 
 def test_blocks_owe_little():
-    frame = pd.DataFrame({"id": range(500), "source": "s", "size": [1 + (i * 37) % 900 for i in range(500)], "n": 1, "hash": range(500), "rate": 0.37, "block": 0})
+    frame = pd.DataFrame({"id": range(500), "source": "s", "size": [1 + (i * 37) % 900 for i in range(500)], "n": 1, "hash": range(500), "rate": 0.37, "block": 0, "source_size": 0, "target": 0.0})
     got = mixing._round(frame, 3)
     assert set(got["copies"]) <= {0, 1} and abs((got["copies"] * got["size"]).sum() - 0.37 * frame["size"].sum()) <= 5
 
