@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -30,10 +31,13 @@ def ship(spark: SparkSession) -> None:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the folder in ``spark.checkpoint.dir`` and cut its lineage;
-    a temporary folder is set only where there is none, as in tests."""
+    """Write ``df`` to the folder in ``spark.checkpoint.dir`` and cut its lineage.
+    Where it is unset, a local master (as in tests) gets a temporary folder; on a
+    cluster that is an error."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
         folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(folder or f"file://{tempfile.mkdtemp(prefix='declarium-')}")
     return df.checkpoint(eager=True)
