@@ -2,13 +2,15 @@
 
 Two texts link if their SimHash fingerprints do (``simhash``: shingles of three
 words, at most 3 of 64 bits), or if the Jaccard similarity of their sets of
-five-word shingles is 0.8 or more. Candidates for the latter share one of 26
-bands of 5 MinHash values; a pair at 0.8 shares none with probability 3e-5, and
-less above. Every candidate is verified on the whole sets of both texts.
+five-word shingles is 0.8 or more and one is the first of the texts that share one
+of its bands. A band is 5 of 130 MinHash values, and the first text is that with the
+smallest hash; a pair at 0.8 shares none of 26 bands with probability 3e-5, and less
+above. So each text is compared with at most 26 others, however many share its
+bands, and a text reaches its group through the first ones.
 
-A band's value that many texts share makes no pairs with the square of its
-size: each text is first compared with the smallest of them, and then, over the
-components that gives, only texts of different components are.
+Most comparisons end with the share of equal MinHash values: below 0.64, which is 4.5
+standard deviations under 0.8, the pair is left. The others are verified on the
+whole sets of both texts.
 
 Defined results
 ---------------
@@ -31,7 +33,7 @@ from . import textkit as tk
 from .components import components
 from .shared import checkpointed, map_arrow
 
-WIDTH, BANDS, ROWS = 5, 26, 5
+WIDTH, BANDS, ROWS, LIKELY = 5, 26, 5, 0.64
 _BLOCK = 1 << 12
 _draw = np.random.RandomState(20250301)
 _XOR, _TIMES = (_draw.randint(0, 2**63, (BANDS * ROWS, 1), dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
@@ -47,13 +49,16 @@ def shingles(texts: pa.Array) -> Iterator[np.ndarray]:
             yield tk.grams(words[lo:hi], min(WIDTH, hi - lo)) if hi > lo else words[:0]
 
 
-def bands(hashes: np.ndarray) -> np.ndarray:
-    """The value of each band of a text; none for a text without words."""
-    if not len(hashes):
-        return hashes.view(np.int64)
+def minima(hashes: np.ndarray) -> np.ndarray:
+    """The MinHash values of a text with words."""
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
     for lo in range(0, len(hashes), _BLOCK):
         np.minimum(least, tk.mix((hashes[None, lo : lo + _BLOCK] ^ _XOR) * _TIMES).min(axis=1), out=least)
+    return least
+
+
+def bands(least: np.ndarray) -> np.ndarray:
+    """The value of each band."""
     out = _SALT.copy()
     for values in least.reshape(BANDS, ROWS).T:
         out = tk.mix(out + values)
@@ -66,11 +71,13 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Columns id, text, key to id, key, fp, bands."""
+    """Columns id, text, key to id, key, fp, bands, and a byte of each MinHash value; no bands and bytes without words."""
     for batch in batches:
         fps = np.fromiter((simhash.fingerprint(t.as_py()) for t in batch.column(1)), np.uint64, len(batch))
-        made = _lists([bands(h) for h in shingles(batch.column(1))])
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps.view(np.int64)), made], ["id", "key", "fp", "bands"])
+        least = [minima(h) if len(h) else None for h in shingles(batch.column(1))]
+        made = _lists([np.zeros(0, np.int64) if x is None else bands(x) for x in least])
+        low = pa.array([b"" if x is None else x.astype(np.uint8).tobytes() for x in least], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps.view(np.int64)), made, low], ["id", "key", "fp", "bands", "low"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,6 +89,14 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), made], ["key", "shingles"])
 
 
+def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Columns a, b, u, v, low of a, low of b to a, b, u, v of the pairs whose MinHash values agree often enough."""
+    for batch in batches:
+        one, two = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(len(batch), BANDS * ROWS) for k in (4, 5))
+        good = pa.array((one == two).mean(axis=1) >= LIKELY) if len(batch) else pa.array([], pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column(k).filter(good) for k in range(4)], ["a", "b", "u", "v"])
+
+
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Columns u, v, a, b to the u and v whose sets a and b are similar: 10 common of 8 in both, in whole numbers."""
     for batch in batches:
@@ -93,16 +108,17 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(good, pa.bool_())) for k in (0, 1)], ["u", "v"])
 
 
-def _verified(df: DataFrame, text_col: str, pairs: DataFrame) -> DataFrame:
+def _verified(df: DataFrame, text_col: str, texts: DataFrame, pairs: DataFrame) -> DataFrame:
     """(u, v): labels of the ``pairs`` (a, b, u, v) of text keys that are similar."""
-    pairs = checkpointed(pairs)
+    low = texts.select("key", "low")
+    both = pairs.join(low.withColumnsRenamed({"key": "a", "low": "x"}), "a").join(low.withColumnsRenamed({"key": "b", "low": "y"}), "b")
+    pairs = checkpointed(map_arrow(both.select("a", "b", "u", "v", "x", "y"), _likely, "a bigint, b bigint, u bigint, v bigint"))
     needed = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    texts = df.select(F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text")).join(needed, "key", "left_semi")
-    sets = checkpointed(map_arrow(texts, _sets, "key bigint, shingles array<bigint>"))
+    rows = df.select(F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text")).join(needed, "key", "left_semi")
+    sets = checkpointed(map_arrow(rows, _sets, "key bigint, shingles array<bigint>"))
     sets = sets.groupBy("key").agg(F.first("shingles").alias("shingles")) if sets.groupBy("key").count().where("count > 1").take(1) else sets
     left, right = sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("key").alias("b"), F.col("shingles").alias("y"))
-    both = pairs.join(left, "a").join(right, "b").select("u", "v", "x", "y")
-    return map_arrow(both, _similar, "u bigint, v bigint")
+    return map_arrow(pairs.join(left, "a").join(right, "b").select("u", "v", "x", "y"), _similar, "u bigint, v bigint")
 
 
 def _joined(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -114,21 +130,14 @@ def _joined(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 def labels(df: DataFrame, text_col: str, rows: DataFrame) -> DataFrame:
     """(key, label) of each text: those that a chain of links joins have one label."""
-    texts = checkpointed(rows.groupBy("key").agg(F.first("fp").alias("label"), F.first("bands").alias("bands")))
-    nodes = _joined(texts, simhash.links(texts.select(F.col("label").alias("fp")).distinct()))
-    held = nodes.select("key", "label", F.explode("bands").alias("band"))
-    many = held.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "label")).alias("first")).where("n > 1").select("band", "first")
-    held = checkpointed(held.join(many, "band"))
-    star = held.where(F.col("label") != F.col("first.label"))
-    star = star.select(F.col("first.key").alias("a"), F.col("key").alias("b"), F.col("first.label").alias("u"), F.col("label").alias("v")).distinct()
-    nodes = _joined(nodes.select("key", "label"), _verified(df, text_col, star))
-    held = held.select("key", "band").join(nodes, "key")
-    apart = checkpointed(held.groupBy("band").agg(F.collect_set("label").alias("of")).where(F.size("of") > 1))
-    two = apart.select("band", F.explode("of").alias("u"), "of").select("band", "u", F.explode("of").alias("v")).where("u < v")
-    one = held.select("band", F.col("label").alias("u"), F.col("key").alias("a"))
-    far = held.select("band", F.col("label").alias("v"), F.col("key").alias("b"))
-    rest = two.join(one, ["band", "u"]).join(far, ["band", "v"]).select("a", "b", "u", "v").distinct()
-    return _joined(nodes, _verified(df, text_col, rest))
+    texts = checkpointed(rows.groupBy("key").agg(F.first("fp").alias("label"), F.first("bands").alias("bands"), F.first("low").alias("low")))
+    nodes = _joined(texts.select("key", "label"), simhash.links(texts.select(F.col("label").alias("fp")).distinct()))
+    held = texts.select("key", F.explode("bands").alias("band"))
+    firsts = checkpointed(held.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("a")).where("n > 1").select("band", "a"))
+    star = held.withColumnRenamed("key", "b").join(firsts, "band").where("a <> b").select("a", "b").distinct()
+    of = lambda key, label: nodes.select(F.col("key").alias(key), F.col("label").alias(label))
+    star = star.join(of("a", "u"), "a").join(of("b", "v"), "b").where("u <> v").select("a", "b", "u", "v")
+    return _joined(nodes, _verified(df, text_col, texts, star))
 
 
 def apply(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -136,7 +145,7 @@ def apply(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     one); columns as in ``df``."""
     kind = df.schema[id_col].dataType.simpleString()
     keyed = df.select(F.col(id_col), F.col(text_col), F.xxhash64(text_col))
-    rows = checkpointed(map_arrow(keyed, _measure, f"id {kind}, key bigint, fp bigint, bands array<bigint>"))
+    rows = checkpointed(map_arrow(keyed, _measure, f"id {kind}, key bigint, fp bigint, bands array<bigint>, low binary"))
     order = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key"))
     firsts = rows.groupBy("key").agg(order.alias("first")).join(labels(df, text_col, rows), "key")
     stay = checkpointed(firsts.groupBy("label").agg(F.min("first").alias("first")).select("first.id", "first.key"))

@@ -60,20 +60,29 @@ def written(df: DataFrame, kind: str) -> DataFrame:
     with _shuffles_dropped(spark):
         df.write.parquet(folder)
     _written.append((spark.sparkContext.applicationId, folder))
-    return spark.read.schema(df.schema).parquet(folder)
+    out = spark.read.schema(df.schema).parquet(folder)
+    out._declarium_folder = folder
+    return out
 
 
 _written: list[tuple[str, str]] = []
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table of ``written`` that nothing will read again."""
+    _delete(df.sparkSession, df._declarium_folder)
+
+
 def clean(spark: SparkSession) -> None:
     """Delete the tables of ``written``; results that still read them are lost."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     for app, folder in _written:
         if app == spark.sparkContext.applicationId:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+            _delete(spark, folder)
     _written.clear()
 
 
@@ -96,7 +105,13 @@ def tasks(df: DataFrame) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
 
 
+_BATCH, _DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+
+
 def map_arrow(df: DataFrame, function, schema) -> DataFrame:
-    """``df.mapInArrow`` with the package on the workers."""
+    """``df.mapInArrow`` with the package on the workers. Rows hold whole texts, so
+    a session that has Spark's default batch of 10,000 rows gets one of 2,000."""
+    if df.sparkSession.conf.get(_BATCH, _DEFAULT) == _DEFAULT:
+        df.sparkSession.conf.set(_BATCH, "2000")
     ship(df.sparkSession)
     return df.mapInArrow(function, schema)

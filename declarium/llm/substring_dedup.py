@@ -11,7 +11,7 @@ from their start, so only anchors, about two in ``size`` words, are compared.
 An anchor stands for the run of windows it is the anchor of. The next level
 compares the windows of twice the length to the right and to the left of the
 anchor; every window of the run contains one of the two. Runs that survive are
-expanded to their full windows, which are compared by 128 bits of hash, and
+expanded to their full windows, which are compared by 96 bits of hash, and
 every window but the first in (document, position) is marked.
 
 Defined results
@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .shared import map_arrow, written
+from .shared import discard, map_arrow, written
 
 SIZE = 20
 
@@ -215,13 +215,14 @@ def surviving_runs(texts: DataFrame, keys: list[str], kinds: str, size: int, mos
 
 
 def repeats(texts: DataFrame, keys: list[str], kinds: str, size: int = SIZE, most: int = 1024) -> DataFrame:
-    """keys and repeats: starts of the windows that are not the first of their kind.
+    """keys and repeats (in the shared folder): starts of the windows that are not the first of their kind.
 
     ``texts`` has a row for each combination of ``keys``, and its text."""
     spark = texts.sparkSession
     runs = written(surviving_runs(texts, keys, kinds, size, most), "runs")
     full = texts.alias("t").join(runs.alias("r"), _same("t", "r", keys)).select(*[f"t.{k}" for k in keys], "text", "runs")
     windows = written(map_arrow(full, _windows(size), f"{kinds}, start int, h1 bigint, h2 int"), "windows")
+    discard(runs)
     names = [*keys, "start"]
     place = F.struct(F.col("id").isNull().alias("none"), *names)
     firsts = windows.where(F.col("h1").isin(_frequent(windows, "h1", most))).groupBy("h1", "h2").agg(F.min(place).alias("first"))
@@ -232,7 +233,9 @@ def repeats(texts: DataFrame, keys: list[str], kinds: str, size: int = SIZE, mos
     later = heavy.where(F.coalesce(place != F.col("first"), F.lit(False))).select(*names)
     order = F.row_number().over(Window.partitionBy("h1", "h2").orderBy(F.col("id").asc_nulls_last(), *names[1:]))
     rest = heavy.where(F.col("first").isNull()).withColumn("k", order).where("k > 1").select(*names)
-    return later.unionByName(rest).groupBy(*keys).agg(F.collect_list("start").alias("repeats"))
+    out = written(later.unionByName(rest).groupBy(*keys).agg(F.collect_list("start").alias("repeats")), "repeats")
+    discard(windows)
+    return out
 
 
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, digest: bool = False, most: int = 1024) -> DataFrame:
@@ -245,7 +248,7 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     keys, kinds, texts = ["id"], f"id {kind}", rows
     if rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR id IS NULL").take(1):
         keys, kinds, texts = ["id", "key"], f"id {kind}, key bigint", rows.dropDuplicates(["id", "key"])
-    found = written(repeats(texts, keys, kinds, size, most), "repeats")
+    found = repeats(texts, keys, kinds, size, most)
     joined = rows.alias("t").join(found.alias("f"), _same("t", "f", keys), "left").select("t.id", "text", "repeats")
     name = "kept_sha256" if digest else "kept_text"
     return map_arrow(joined, _remove(size, digest), f"id {kind}, n_words bigint, n_removed bigint, {name} string")
