@@ -9,22 +9,29 @@ from pyspark.sql import functions as F
 
 from .arrays import item_at
 
-MUTABLE = ("master", "main", "develop", "dev", "trunk", "head", "latest")
+# Programs that packages provide, and programs of the build host.
+PACKAGED_PROGRAMS = ("cmake", "ninja", "protoc")
+HOST_PROGRAMS = (
+    "awk", "bash", "cat", "ccache", "cd", "chmod", "chown", "cp", "curl", "echo", "env", "export", "false", "find", "git", "gzip", "ln", "make", "mkdir", "mv", "patch", "perl",
+    "pwd", "python", "python3", "rm", "sed", "sh", "tar", "touch", "true", "unset", "unzip", "wget", "xargs",
+)
 
 
-def is_mutable_ref(tag: Column) -> Column:
-    """A git reference that may move: a branch-like name, or a template."""
-    return F.coalesce(F.lower(tag).isin(*MUTABLE) | tag.startswith("origin/") | tag.contains("${"), F.lit(False))
+def is_pinned_ref(tag: Column) -> Column:
+    """A git reference that can't move: a commit id of 7 to 40 hex digits."""
+    return F.coalesce(tag.rlike("^[0-9a-fA-F]{7,40}$"), F.lit(False))
 
 
 def integrity_findings(url_hash: Column, tls_verify: Column, git_repository: Column, git_tag: Column, location: Column) -> Column:
     """Findings of one download, in order; ``tls_verify`` has three states."""
-    remote = F.coalesce(location.rlike(r"^[a-z+]+://"), F.lit(False))
+    unhashed = url_hash.isNull() & git_repository.isNull()
+    local = (location != "") & ~location.rlike("^[A-Za-z][A-Za-z0-9+.-]*://")
     return F.array_compact(
         F.array(
-            F.when(url_hash.isNull() & git_repository.isNull() & remote, "missing_hash"),
-            F.when(tls_verify.eqNullSafe(F.lit(False)), "tls_disabled"),
-            F.when(git_repository.isNotNull() & (git_tag.isNull() | is_mutable_ref(git_tag)), "mutable_ref"),
+            F.when(unhashed, "no_hash"),
+            F.when(tls_verify.eqNullSafe(F.lit(False)), "tls_verification_disabled"),
+            F.when(git_repository.isNotNull() & ~is_pinned_ref(git_tag), "unpinned_git"),
+            F.when(unhashed & F.coalesce(local, F.lit(False)), "local_source_unverified"),
         )
     )
 
@@ -54,19 +61,24 @@ def keyword_values(args: Column, keyword: str, others: Sequence[str]) -> Column:
 
 
 def classify_link_token(token: Column, is_local: Column) -> Column:
-    """``drop`` for flags, generator expressions, system libraries and paths of the
-    build; ``local`` for targets of this build; else ``external``."""
-    drop = token.rlike(r"^-(?!l)") | token.contains("$<") | token.isin("m", "dl", "pthread", "rt", "c", "stdc++") | (token == "")
+    """``drop`` for flags and for what holds a variable or a generator expression,
+    ``local`` for targets of this build, else ``external``."""
+    t = F.trim(token)
+    drop = (t == "") | t.startswith("-") | t.contains("$<") | t.contains("${")
     return F.when(drop, "drop").when(F.coalesce(is_local, F.lit(False)), "local").otherwise("external")
 
 
-def classify_program(name: Column, found_by: Column, tooling: Sequence[str], builtin: Sequence[str], packages: Sequence[str]) -> Column:
-    """``ignore`` for the build tool itself, ``component`` for programs that packages
-    ship, ``environment_tool`` for known tools and for what find_program names."""
+def classify_program(name: Column, first_argument: Column, tooling: Sequence[str]) -> Column:
+    """``component`` for the site's ``tooling`` and for programs that packages
+    provide, ``environment_tool`` for programs of the host, ``ignore`` for flags,
+    variables, internal commands of the build tool and unknown words."""
+    n = F.trim(name)
+    low = F.lower(n)
+    no_program = n.isNull() | (n == "") | n.startswith("-") | n.contains("${") | ((low == "cmake") & F.coalesce(first_argument == "-E", F.lit(False)))
     return (
-        F.when(name.isNull() | name.isin(*builtin), "ignore")
-        .when(name.isin(*packages), "component")
-        .when(name.isin(*tooling) | (found_by == "find_program"), "environment_tool")
+        F.when(no_program, "ignore")
+        .when(n.isin(*tooling) | low.isin(*tooling, *PACKAGED_PROGRAMS), "component")
+        .when(low.isin(*HOST_PROGRAMS, "$(make)"), "environment_tool")
         .otherwise("ignore")
     )
 
@@ -116,4 +128,4 @@ def component_scope(scopes: Column) -> Column:
 
 def provenance_class(hook: Column, is_python: Column, has_download: Column, licence_is_oss: Column) -> Column:
     """Hook's word first; third party if Python, downloaded or under an open licence; else unknown."""
-    return F.coalesce(hook, F.when(F.coalesce(is_python, F.lit(False)) | F.coalesce(has_download, F.lit(False)) | F.coalesce(licence_is_oss, F.lit(False)), "third_party"), F.lit("unknown"))
+    return F.coalesce(hook, F.when(F.coalesce(is_python, F.lit(False)) | F.coalesce(has_download, F.lit(False)) | F.coalesce(licence_is_oss, F.lit(False)), "third-party"), F.lit("unknown"))

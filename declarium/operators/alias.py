@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from ..functions.text import null_if_empty, upstream_name
 from .order import first_per_key
 
-NAME_KEYS = ("name", "component", "canonical_name", "cann_package", "program", "link_target", "target")
+# Keys of an observation's data that may hold its name, in order; a site puts its own first.
+NAME_KEYS = ("name", "component", "canonical_name", "program", "link_target", "target")
 
 
 def layer(df: DataFrame, spelling: str, canonical: str, seq: str, prio: int) -> DataFrame:

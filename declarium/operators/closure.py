@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..session import checkpointed
 from .order import top_one
 
+# Roles from the first choice of a root to the last.
 ROLE_RANK = {r: i for i, r in enumerate(("primary", "sibling_artifact", "cmake_project", "unclassified", "example", "manual_example", "st_test", "experimental", "non_distributable_test"))}
 
 
@@ -45,6 +46,8 @@ def apply(subjects: DataFrame, components: DataFrame, edges: DataFrame, tools: D
     roots = kept.select(F.lit("all").alias("group"), F.lit("subject").alias("kind"), "id", F.col("id").alias("owner"))
     nodes = reachable(edges, roots).where("kind = 'component'").select(F.col("id").alias("node"))
     comps = components.join(nodes, F.col("name") == F.col("node"), "left_semi")
+    if "depends_on" in components.columns:
+        comps = _without_dangling(comps, nodes)
     both = nodes.select(F.lit("component").alias("n_kind"), "node").unionByName(kept.select(F.lit("subject").alias("n_kind"), F.col("id").alias("node"))).distinct()
     for side in ("from", "to"):
         edges = edges.join(both, (F.col(f"{side}_kind") == F.col("n_kind")) & (F.col(f"{side}_id") == F.col("node")), "left_semi")
@@ -53,14 +56,31 @@ def apply(subjects: DataFrame, components: DataFrame, edges: DataFrame, tools: D
     return promote_root(kept), comps, edges, free
 
 
+def _without_dangling(comps: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``depends_on`` cut down to ``nodes``, in its order."""
+    asked = comps.select(F.col("name").alias("d_name"), F.posexplode("depends_on").alias("pos", "d_to"))
+    stay = asked.join(nodes.distinct(), F.col("d_to") == F.col("node"), "left_semi")
+    stay = stay.groupBy("d_name").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "d_to"))), lambda x: x["d_to"]).alias("d_stay"))
+    kept = F.coalesce("d_stay", F.array().cast("array<string>"))
+    return comps.join(stay, F.col("name") == F.col("d_name"), "left").withColumn("depends_on", kept).drop("d_name", "d_stay")
+
+
 def promote_root(subjects: DataFrame) -> DataFrame:
-    """Adds is_root: the first primary, else the emittable subject of the best role."""
+    """Adds is_root: the first primary, else the emittable subject of the best role,
+    which becomes emittable and goes ahead of all others."""
     rank = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in ROLE_RANK.items() for x in kv]), F.col("role")), F.lit(99))
     ranked = subjects.withColumn("_role", rank)
     primary = F.col("_role") == 0
     best = top_one(ranked.withColumn("_g", F.lit(1)), ["_g"], ["id", "seq"], [~primary, ~F.col("emit_as_subject"), F.col("_role"), F.col("seq")])
     best = best.select(F.col("id").alias("b_id"), F.col("seq").alias("b_seq"))
-    return subjects.join(F.broadcast(best), (F.col("id") == F.col("b_id")) & (F.col("seq") == F.col("b_seq")), "left").withColumn("is_root", F.col("b_id").isNotNull()).drop("b_id", "b_seq")
+    return subjects.join(F.broadcast(best), (F.col("id") == F.col("b_id")) & (F.col("seq") == F.col("b_seq")), "left").withColumn("is_root", F.col("b_id").isNotNull()).drop("b_id", "b_seq").transform(_promoted)
+
+
+def _promoted(subjects: DataFrame) -> DataFrame:
+    first = subjects.agg(F.min("seq").alias("_first"))
+    new = F.col("is_root") & ~F.col("role").eqNullSafe(F.lit("primary"))
+    out = subjects.crossJoin(F.broadcast(first))  # one row
+    return out.withColumn("emit_as_subject", F.col("emit_as_subject") | new).withColumn("seq", F.when(new, F.col("_first") - 1).otherwise(F.col("seq"))).drop("_first")
 
 
 def pick_primary(subjects: DataFrame) -> DataFrame:

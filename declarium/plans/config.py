@@ -80,7 +80,7 @@ class Profile:
     role_rules: Sequence[tuple[str, str]] = (("tests", "st_test"), ("test", "st_test"), ("examples", "example"), ("samples", "example"), ("experimental", "experimental"))
     scope_hints: Sequence[tuple[str, str]] = (("/tests/", "test"), ("/test/", "test"), ("/examples/", "example"), ("/docs/", "docs"))
     dead_flags: Sequence[str] = ()
-    tooling: Sequence[str] = ("git", "python3", "python", "bash", "sh", "make", "ninja", "patch", "tar", "ccache", "doxygen")
+    tooling: Sequence[str] = ()  # programs that the site ships
     macros: dict[str, str] = {}
     aliases: dict[str, str] = {}
     supplier: str | None = None

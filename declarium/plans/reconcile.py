@@ -81,7 +81,7 @@ def from_cmake(files: DataFrame, commands: DataFrame, profile: Profile, owner: s
     subject = tokens.select((site + F.col("pos")).alias("seq"), own.alias("root"), F.lit("subject").alias("from_kind"), own.alias("from_id"), F.lit("component").alias("to_kind"), F.col("token").alias("to_id"), F.lit("links").alias("relation"), hints.alias("usage_scope"), rules.reachability(F.col("gates"), profile.dead_flags or ("\0",))["reachability"].alias("reachability"), F.col("path").alias("source_file"), none.alias("source_revision"))
     depends = placed(cmake.target_edges(commands)).select((site + F.col("pos")).alias("seq"), own.alias("root"), F.lit("component").alias("from_kind"), "from_id", F.lit("component").alias("to_kind"), "to_id", F.lit("depends_on").alias("relation"), hints.alias("usage_scope"), F.lit("reachable").alias("reachability"), F.col("path").alias("source_file"), none.alias("source_revision"))
     programs = placed(cmake.imported_programs(commands).unionByName(cmake.program_calls(commands)))
-    kind = rules.classify_program(F.col("program"), F.col("context"), profile.tooling, ("cmake", "${CMAKE_COMMAND}"), ())
+    kind = rules.classify_program(F.col("program"), F.lit(None).cast("string"), profile.tooling)
     tools = programs.where(kind == "environment_tool").select((site + F.col("pos")).alias("seq"), F.col("program").alias("name"), none.alias("path"), none.alias("version"), (F.size("gates") == 0).alias("required"), F.col("path").alias("source_file"), own.alias("root_artifact_id"))
     return Document(spark.createDataFrame([], SUBJECTS), comps, obs, edge_ops.deduplicate(subject.unionByName(depends)), tools, spark.createDataFrame([], WARNINGS))
 
@@ -125,12 +125,12 @@ def _of_requirements(rows: DataFrame, kind: str) -> Document:
     return Document(spark.createDataFrame([], SUBJECTS), comps, obs, edge_ops.deduplicate(edges, edge_ops.PYTHON), spark.createDataFrame([], TOOLS), spark.createDataFrame([], WARNINGS))
 
 
-def reconcile(doc: Document, config: Config = Config(), profile: Profile | None = None, known_licences: DataFrame | None = None, curated: DataFrame | None = None) -> Document:
+def reconcile(doc: Document, config: Config = Config(), profile: Profile | None = None, known_licences: DataFrame | None = None, curated: DataFrame | None = None, coordinates: DataFrame | None = None) -> Document:
     """Aliases, merged components, attached observations, clean edges, versions,
     licences, provenance, then the view that ``config`` asks for.
 
-    ``known_licences`` has key and license; ``curated`` component, version, license,
-    copyright, source and seq."""
+    ``known_licences`` has key (a name or an alias) and license; ``curated`` component,
+    version, license, copyright, source and seq; ``coordinates`` key and purl."""
     profile = profile or Profile()
     # the tables are used many times over: each is computed once
     doc = replace(doc, components=checkpointed(doc.components), observations=checkpointed(doc.observations), edges=checkpointed(doc.edges))
@@ -171,13 +171,16 @@ def reconcile(doc: Document, config: Config = Config(), profile: Profile | None
     comps = merge.version_completeness(comps)
 
     if known_licences is not None:
-        k = known_licences.select(F.lower("key").alias("k_key"), F.col("license").alias("known_license"))
-        comps = comps.join(k, F.lower("name") == F.col("k_key"), "left").drop("k_key")
+        k = resolve.lookup_by_names(comps.select("name", "aliases"), known_licences.select("key", "license"), "name", "aliases", "key", ["license"])
+        comps = comps.join(k.select(F.col("name").alias("k_name"), F.col("license").alias("known_license")), F.col("name") == F.col("k_name"), "left").drop("k_name")
     else:
         comps = comps.withColumn("known_license", F.lit(None).cast("string"))
     default = F.when(profile.first_party(F.col("name")), F.lit(profile.dependency_licence)) if profile.dependency_licence else F.lit(None).cast("string")
     comps = comps.withColumnRenamed("license", "declared_license")
-    comps = resolve.layered(comps, [("declared", F.col("declared_license")), ("curated", F.col("curated_license")), ("known_map", F.col("known_license")), ("default", default)], "license")
+    comps = resolve.layered(comps, [("default", default), ("declared", F.col("declared_license")), ("curated", F.col("curated_license")), ("known_map", F.col("known_license"))], "license")
+    # only a curated and a known licence that differ are at odds
+    at_odds = F.col("curated_license").isNotNull() & F.col("known_license").isNotNull() & (F.col("curated_license") != F.col("known_license"))
+    comps = comps.withColumn("license_discrepant", at_odds)
     warnings.append(resolve.unresolved(comps, "name", "license"))
     warnings.append(comps.where("license_discrepant").select(F.lit("license_discrepancy").alias("code"), F.col("name").alias("subject"), F.lit("sources disagree").alias("detail")))
 
@@ -191,7 +194,7 @@ def reconcile(doc: Document, config: Config = Config(), profile: Profile | None
     if profile.supplier:
         comps = resolve.suppliers(comps, profile.first_party(F.col("name")), profile.supplier)
     comps = checkpointed(comps)
-    coordinates = spark.createDataFrame([], "key string, purl string")
+    coordinates = coordinates if coordinates is not None else spark.createDataFrame([], "key string, purl string")
     comps = resolve.component_purls(comps.withColumn("is_python", F.coalesce("is_python", F.lit(False))), coordinates, comps.select("name", "first_download"))
     every = reduce(DataFrame.unionByName, warnings)
     return transform(replace(doc, components=comps, observations=observed, edges=edges, warnings=every), config)

@@ -34,3 +34,17 @@ def test_many_rows_of_one_base(spark):
     df = spark.range(3000).select(F.col("id").alias("seq"), F.when(F.col("id") == 1500, "a-700").otherwise("a").alias("base"))
     got = [r.made for r in sorted(ids.claimed(df, F.col("base"), "seq", "made").collect(), key=lambda r: r.seq)]
     assert got == claim_all(["a-700" if i == 1500 else "a" for i in range(3000)])
+
+
+def test_ids_of_all_documents(spark, sf):
+    from declarium.queries import QUERIES
+
+    rows = sorted(QUERIES["q_claimed_ids"](spark, sf).collect(), key=lambda r: r.doc_id)
+    assert [r.id for r in rows] == claim_all([r.base for r in rows])
+
+
+def test_basenames_that_collide(spark):
+    urls = ["https://h/a b", "https://h/a_b", "https://h/c"]
+    got = {r.url: r.file for r in ids.safe_basenames(spark.createDataFrame([(u,) for u in urls], "url string"), "url", "file").collect()}
+    assert got[urls[2]] == "https_h_c" and len(set(got.values())) == 3
+    assert all(got[u].startswith("https_h_a_b-") and len(got[u]) == len("https_h_a_b-") + 8 for u in urls[:2])

@@ -26,7 +26,7 @@ def test_reconcile(spark):
     doc = document(spark, view="all")
     got = {r["name"]: r for r in doc.components.collect()}
     assert set(got) == {"eigen", "numpy", "scipy", "pytest"}
-    assert got["eigen"]["aliases"] == ["external_eigen"] and got["eigen"]["source_version"] == "5.0.0" and got["eigen"]["origin"] == "third_party"
+    assert got["eigen"]["aliases"] == ["external_eigen"] and got["eigen"]["source_version"] == "5.0.0" and got["eigen"]["origin"] == "third-party"
     assert got["numpy"]["source_version"] == "1.25" and got["numpy"]["license"] == "BSD-3-Clause" and got["numpy"]["license_source"] == "known_map"
     assert got["scipy"]["version_status"] == "unpinned" and got["pytest"]["scopes"] == ["test"]
     codes = {(r.code, r.subject) for r in doc.warnings.collect()}

@@ -36,4 +36,4 @@ def test_entry(spark):
 
 def test_pin_conflicts_of_every_part(spark, sf, con):
     want = con.execute("SELECT count(*) FROM (SELECT l_partkey FROM lineitem WHERE l_linenumber % 3 <> 0 GROUP BY 1 HAVING count(DISTINCT (l_suppkey % 12, l_linenumber % 2)) > 1)").fetchone()[0]
-    assert core.QUERIES["q_pin_conflict_all"](spark, sf).count() == want > core.QUERIES["q_pin_conflict"](spark, sf).count()
+    assert core.QUERIES["q_pin_conflict"](spark, sf).count() == want > 0

@@ -110,7 +110,7 @@ def test_cmake_records(tree_cmds):
     assert {r.program for r in cmake.imported_programs(cmds).collect()} == {"clang", "gcc"}
     assert {r.program for r in cmake.program_calls(cmds).collect()} == {"git", "python3", "patch"}
     d = cmake.downloads(cmds).first()
-    assert (d.canonical_url, d.version, d.tls_verify, d.findings, d.depends) == ("https://h/ep-1.2.3.tar.gz", "1.2.3", False, ["missing_hash", "tls_disabled"], ["local"])
+    assert (d.canonical_url, d.version, d.tls_verify, d.findings, d.depends) == ("https://h/ep-1.2.3.tar.gz", "1.2.3", False, ["no_hash", "tls_verification_disabled"], ["local"])
     p = cmake.patches(cmake.downloads(cmds), t).first()
     assert p.file == "fix.patch" and p.sha256
     assert tuple(cmake.projects(cmds).select("name", "version").first()) == ("demo", None)
