@@ -19,10 +19,13 @@ those alone, as all its long lines go. For all others:
 2. the lines that this leaves although an earlier document has them are *open*.
    Documents with open lines are aligned with all earlier documents that share a
    line of at most ``rare`` holders, and, for a frequent open line, with one of
-   each class of its holders: a class has one order of frequent lines, gaps and
-   ends, and documents that share only frequent lines align alike with all of it.
-   Where the first of a class also shares a rare line, the first that doesn't
-   stands for it. So nothing is lost to all pairs, whatever ``rare`` is.
+   each class of its holders that shares a second line: a class has one order of
+   frequent lines, gaps and ends, and documents that share only frequent lines
+   align alike with all of it. Where the first of a class also shares a rare line,
+   the first that doesn't stands for it. A class that shares the open line alone
+   counts only if the line is there once, or begins or ends the later document;
+   elsewhere patience diff has no anchor for it. So nothing is lost to all pairs,
+   whatever ``rare`` is.
 
 Defined results
 ---------------
@@ -43,6 +46,7 @@ import bisect
 import hashlib
 from collections import Counter
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -256,9 +260,7 @@ def _aligned(pairs: DataFrame, seqs: DataFrame) -> DataFrame:
     """(no, lines, stretches) of the ``pairs`` (a, b, b_seq)."""
     kind = seqs.schema["no"].dataType.simpleString()
     both = pairs.join(seqs.select(F.col("no").alias("a"), _slim("seq").alias("a_seq")), "a").select("b", "b_seq", "a_seq")
-    found = map_arrow(both, _align, f"b {kind}, lines array<int>, stretches array<int>")
-    union = lambda c: F.array_distinct(F.flatten(F.collect_list(c))).alias(c)
-    return found.groupBy(F.col("b").alias("no")).agg(union("lines"), union("stretches"))
+    return _union([map_arrow(both, _align, f"b {kind}, lines array<int>, stretches array<int>").withColumnRenamed("b", "no")])
 
 
 def with_first_holders(seqs: DataFrame) -> DataFrame:
@@ -267,55 +269,84 @@ def with_first_holders(seqs: DataFrame) -> DataFrame:
     return _aligned(seqs.select(F.explode(others).alias("a"), F.col("no").alias("b"), _slim("seq").alias("b_seq")), seqs)
 
 
-def with_all_holders(seqs: DataFrame, done: DataFrame, rare: int) -> DataFrame | None:
-    """(no, lines) from alignments that cover all earlier holders of the lines that ``done`` leaves."""
-    left = lambda gone: F.filter("seq", lambda x: (x["first"] != F.col("no")) & ~F.array_contains(gone, x["place"]))
-    open_ = seqs.join(done.select("no", "lines"), "no", "left").withColumn("lines", F.coalesce("lines", F.array().cast("array<int>")))
-    open_ = checkpointed(open_.select("no", "seq", left(F.col("lines")).alias("left")).where(F.size("left") > 0))
-    if not open_.take(1):
-        return None
-    holders = seqs.select("no", F.explode(F.array_distinct(F.transform("seq", lambda x: F.struct(x["h"], x["n"])))).alias("x")).select("no", "x.h", "x.n")
-    wanted = open_.select(F.col("no").alias("b"), F.explode("seq").alias("x")).where(F.col("x.n") <= rare).select("b", "x.h").distinct()
-    near = holders.where(F.col("n") <= rare).select(F.col("no").alias("a"), "h").join(wanted, "h").where("a < b").select("a", "b").distinct()
-    near = checkpointed(near)
-    # classes of the order of frequent lines
-    often = F.filter("seq", lambda x: x["n"] > rare)
-    order = F.transform("often", lambda x, i: F.struct(x["h"], (i > 0) & (F.get("often.place", i - 1) == x["place"] - 1), x["place"] == 0, x["e"] != 0))
-    classes = seqs.select("no", often.alias("often")).where(F.size("often") > 0).select("no", "often.h", F.xxhash64(order).alias("class"))
-    classes = checkpointed(classes)
+def _open(seqs: DataFrame, done: DataFrame) -> DataFrame:
+    """(no, seq, left): documents with lines that an earlier one has, but ``done`` leaves."""
+    both = seqs.join(done.select("no", "lines"), "no", "left").withColumn("lines", F.coalesce("lines", F.array().cast("array<int>")))
+    left = F.filter("seq", lambda x: (x["first"] != F.col("no")) & ~F.array_contains("lines", x["place"]))
+    return checkpointed(both.select("no", "seq", left.alias("left")).where(F.size("left") > 0))
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    """Removals (no, lines, stretches) of the same documents put together."""
+    union = lambda c: F.array_distinct(F.flatten(F.collect_list(c))).alias(c)
+    return reduce(DataFrame.unionByName, parts).groupBy("no").agg(union("lines"), union("stretches"))
+
+
+def _stand_ins(asked: DataFrame, near: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b) for each (b, class): the first of the class that shares no rare line with b, if it is earlier."""
     firsts = classes.groupBy("class").agg(F.min("no").alias("a"))
-    of_line = classes.select("class", F.explode("h").alias("h")).distinct()
-    asked = open_.select(F.col("no").alias("b"), F.explode("left").alias("x")).where(F.col("x.n") > rare).select("b", "x.h").distinct()
-    asked = asked.join(of_line, "h").select("b", "class").distinct().join(firsts, "class").where("a < b")
-    asked = checkpointed(asked.join(near.withColumn("also", F.lit(True)), ["a", "b"], "left"))
-    chosen = asked.where("also IS NULL").select("a", "b")
-    again = asked.where("also").select("b", "class")
-    if again.take(1):  # the class's first shares a rare line as well: take the first that doesn't
+    asked = checkpointed(asked.join(firsts, "class").where("a < b").join(near.withColumn("also", F.lit(True)), ["a", "b"], "left"))
+    chosen, again = asked.where("also IS NULL").select("a", "b"), asked.where("also").select("b", "class")
+    if again.take(1):
         members = classes.select(F.col("no").alias("a"), "class")
         skip = checkpointed(near.join(members, "a").join(again, ["b", "class"]).groupBy("b", "class").agg(F.count(F.lit(1)).alias("skip")))
         most = skip.agg(F.max("skip")).first()[0]
         ranked = members.withColumn("rank", F.row_number().over(Window.partitionBy("class").orderBy("a"))).where(F.col("rank") <= most + 1)
         free = skip.join(ranked, "class").where((F.col("rank") <= F.col("skip") + 1) & (F.col("a") < F.col("b"))).join(near, ["a", "b"], "left_anti")
         chosen = chosen.unionByName(free.groupBy("b", "class").agg(F.min("a").alias("a")).select("a", "b"))
-    pairs = near.unionByName(chosen).distinct().join(open_.select(F.col("no").alias("b"), _slim("seq").alias("b_seq")), "b")
-    return _aligned(pairs, seqs).select("no", "lines")
+    return chosen
+
+
+def with_all_holders(seqs: DataFrame, done: DataFrame, rare: int) -> DataFrame:
+    """``done`` and what alignments with all earlier holders of the lines it leaves add."""
+    open_ = _open(seqs, done)
+    if not open_.take(1):
+        return done
+    b_seq = lambda rows: rows.select(F.col("no").alias("b"), _slim("seq").alias("b_seq"))
+    more = lambda pairs, rows: _aligned(pairs.distinct().join(b_seq(rows), "b"), seqs).withColumn("stretches", F.array().cast("array<int>"))
+    # all that share a rare line
+    holders = seqs.select("no", F.explode(F.array_distinct(F.transform("seq", lambda x: F.struct(x["h"], x["n"])))).alias("x")).select("no", "x.h", "x.n").where(F.col("n") <= rare)
+    wanted = open_.select(F.col("no").alias("b"), F.explode("seq").alias("x")).where(F.col("x.n") <= rare).select("b", "x.h").distinct()
+    near = checkpointed(holders.select(F.col("no").alias("a"), "h").join(wanted, "h").where("a < b").select("a", "b").distinct())
+    # classes of the order of frequent lines; of each, one for every two lines it shares
+    often = F.filter("seq", lambda x: x["n"] > rare)
+    order = F.transform("often", lambda x, i: F.struct(x["h"], (i > 0) & (F.get("often.place", i - 1) == x["place"] - 1), x["place"] == 0, x["e"] != 0))
+    classes = seqs.select("no", often.alias("often")).where(F.size("often") > 0).select("no", F.array_distinct("often.h").alias("h"), F.xxhash64(order).alias("class"))
+    classes = checkpointed(classes)
+    lines_of = checkpointed(classes.dropDuplicates(["class"]).select("class", "h"))
+    hot = lambda name: F.array_distinct(F.transform(F.filter(name, lambda x: x["n"] > rare), lambda x: x["h"]))
+    asking = open_.select(F.col("no").alias("b"), F.explode(hot("left")).alias("line"), hot("seq").alias("h"))
+    asked_lines = asking.select("line").distinct()
+    twos = lambda rows, key: rows.select(key, "line", F.explode("h").alias("other")).where("line <> other")
+    of_class = twos(lines_of.select("class", F.explode("h").alias("line"), "h").join(asked_lines, "line", "left_semi"), "class")
+    by_two = checkpointed(twos(asking, "b").join(of_class, ["line", "other"]).select("b", "class").distinct())
+    pairs = near.unionByName(_stand_ins(by_two, near, classes))
+    # and the first documents with the same line at their beginning or end
+    for end, where in ((1, "x.place = 0"), (-1, "x.e <> 0")):
+        edge = lambda rows: rows.select("no", F.element_at("seq", end).alias("x")).where(where).select("no", "x.h")  # noqa: B023, E731
+        firsts = edge(seqs).groupBy("h").agg(F.min("no").alias("a"))
+        pairs = pairs.unionByName(edge(open_).withColumnRenamed("no", "b").join(firsts, "h").where("a < b").select("a", "b"))
+    done = checkpointed(_union([done, more(pairs, open_)]))
+    # documents that share one line alone can match it only if it is there once, or begins or ends the later one
+    open_ = _open(seqs, done)
+    alone = lambda x: (F.size(F.filter("seq", lambda y: y["h"] == x["h"])) == 1) | ((F.get("seq", 0)["h"] == x["h"]) & (F.get("seq", 0)["place"] == 0)) | ((F.element_at("seq", -1)["h"] == x["h"]) & (F.element_at("seq", -1)["e"] != 0))
+    single = open_.withColumn("left", F.filter("left", lambda x: (x["n"] > rare) & alone(x)))
+    single = single.select(F.col("no").alias("b"), F.explode(F.array_distinct(F.transform("left", lambda x: x["h"]))).alias("line"))
+    rest = single.join(lines_of.select("class", F.explode("h").alias("line")), "line").select("b", "class").distinct().join(by_two, ["b", "class"], "left_anti")
+    rest = checkpointed(rest)
+    return _union([done, more(_stand_ins(rest, near, classes), open_)]) if rest.take(1) else done
 
 
 def removals(docs: DataFrame, rare: int) -> DataFrame:
     """(no, lines, stretches): places of the long lines, and numbers of the stretches, that go."""
     seqs = sequences(docs)
-    done = checkpointed(with_first_holders(seqs))
-    more = with_all_holders(seqs, done, rare)
-    if more is not None:
-        both = done.unionByName(more.withColumn("stretches", F.array().cast("array<int>")))
-        union = lambda c: F.array_distinct(F.flatten(F.collect_list(c))).alias(c)
-        done = both.groupBy("no").agg(union("lines"), union("stretches"))
+    done = with_all_holders(seqs, checkpointed(with_first_holders(seqs)), rare)
     all_lines = F.transform("lines", lambda _, i: i)
     same = F.filter(F.transform("stretches", lambda s, i: F.when(s == F.get("first_stretches", i), i)), lambda i: i.isNotNull())
     return done.unionByName(docs.where("no <> first").select("no", all_lines.alias("lines"), same.alias("stretches")))
 
 
-def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 4, rare: int = 8, digest: bool = False) -> DataFrame:
+def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 4, rare: int = 32, digest: bool = False) -> DataFrame:
     """id, n_lines, n_removed and kept_text (or with ``digest`` kept_sha256) for each
     row of ``df``. ``rare`` changes the work, not the result."""
     gone = removals(documents(df, id_col, text_col, min_words), rare)
