@@ -10,7 +10,9 @@ bands, and a text reaches its group through the first ones.
 
 Most comparisons end with the share of equal MinHash values: below 0.64, which is 4.5
 standard deviations under 0.8, the pair is left. The others are verified on the
-whole sets of both texts.
+whole sets of both texts: each text with the first text it agrees with most, then with
+those of its other first texts that are not in its group by then, so a large group of
+near copies isn't verified 26 times over.
 
 Defined results
 ---------------
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 from . import simhash
 from . import textkit as tk
 from .components import components
-from .shared import checkpointed, map_arrow
+from .shared import checkpointed, discard, map_arrow, written
 
 WIDTH, BANDS, ROWS, LIKELY = 5, 26, 5, 0.64
 _BLOCK = 1 << 12
@@ -90,11 +92,12 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Columns a, b, u, v, low of a, low of b to a, b, u, v of the pairs whose MinHash values agree often enough."""
+    """Columns a, b, low of a, low of b to a, b, agree of the pairs that have enough equal MinHash values."""
     for batch in batches:
-        one, two = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(len(batch), BANDS * ROWS) for k in (4, 5))
-        good = pa.array((one == two).mean(axis=1) >= LIKELY) if len(batch) else pa.array([], pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column(k).filter(good) for k in range(4)], ["a", "b", "u", "v"])
+        one, two = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(len(batch), BANDS * ROWS) for k in (2, 3))
+        agree = (one == two).sum(axis=1, dtype=np.int32)
+        good = pa.array(agree >= LIKELY * BANDS * ROWS)
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good), pa.array(agree).filter(good)], ["a", "b", "agree"])
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,17 +111,23 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(good, pa.bool_())) for k in (0, 1)], ["u", "v"])
 
 
-def _verified(df: DataFrame, text_col: str, texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(u, v): labels of the ``pairs`` (a, b, u, v) of text keys that are similar."""
+def _probable(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, agree): the ``pairs`` (a, b) of text keys that may be similar."""
     low = texts.select("key", "low")
     both = pairs.join(low.withColumnsRenamed({"key": "a", "low": "x"}), "a").join(low.withColumnsRenamed({"key": "b", "low": "y"}), "b")
-    pairs = checkpointed(map_arrow(both.select("a", "b", "u", "v", "x", "y"), _likely, "a bigint, b bigint, u bigint, v bigint"))
+    return checkpointed(map_arrow(both.select("a", "b", "x", "y"), _likely, "a bigint, b bigint, agree int"))
+
+
+def _verified(df: DataFrame, text_col: str, pairs: DataFrame) -> DataFrame:
+    """(u, v): labels of the ``pairs`` (a, b, u, v) of text keys that are similar."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     rows = df.select(F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text")).join(needed, "key", "left_semi")
-    sets = checkpointed(map_arrow(rows, _sets, "key bigint, shingles array<bigint>"))
-    sets = sets.groupBy("key").agg(F.first("shingles").alias("shingles")) if sets.groupBy("key").count().where("count > 1").take(1) else sets
+    made = written(map_arrow(rows, _sets, "key bigint, shingles array<bigint>"), "shingles")
+    sets = made.groupBy("key").agg(F.first("shingles").alias("shingles")) if made.groupBy("key").count().where("count > 1").take(1) else made
     left, right = sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("key").alias("b"), F.col("shingles").alias("y"))
-    return map_arrow(pairs.join(left, "a").join(right, "b").select("u", "v", "x", "y"), _similar, "u bigint, v bigint")
+    out = checkpointed(map_arrow(pairs.join(left, "a").join(right, "b").select("u", "v", "x", "y"), _similar, "u bigint, v bigint"))
+    discard(made)
+    return out
 
 
 def _joined(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -128,16 +137,25 @@ def _joined(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return checkpointed(nodes.join(roots, "label", "left").select(*other, F.coalesce("root", "label").alias("label")))
 
 
+def _apart(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The ``pairs`` (a, b, …) of text keys with different labels, as u and v."""
+    of = lambda key, label: nodes.select(F.col("key").alias(key), F.col("label").alias(label))
+    return pairs.join(of("a", "u"), "a").join(of("b", "v"), "b").where("u <> v")
+
+
 def labels(df: DataFrame, text_col: str, rows: DataFrame) -> DataFrame:
     """(key, label) of each text: those that a chain of links joins have one label."""
-    texts = checkpointed(rows.groupBy("key").agg(F.first("fp").alias("label"), F.first("bands").alias("bands"), F.first("low").alias("low")))
+    texts = written(rows.groupBy("key").agg(F.first("fp").alias("label"), F.first("bands").alias("bands"), F.first("low").alias("low")), "bands")
     nodes = _joined(texts.select("key", "label"), simhash.links(texts.select(F.col("label").alias("fp")).distinct()))
     held = texts.select("key", F.explode("bands").alias("band"))
     firsts = checkpointed(held.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("a")).where("n > 1").select("band", "a"))
     star = held.withColumnRenamed("key", "b").join(firsts, "band").where("a <> b").select("a", "b").distinct()
-    of = lambda key, label: nodes.select(F.col("key").alias(key), F.col("label").alias(label))
-    star = star.join(of("a", "u"), "a").join(of("b", "v"), "b").where("u <> v").select("a", "b", "u", "v")
-    return _joined(nodes, _verified(df, text_col, texts, star))
+    pairs = _probable(texts, _apart(star, nodes).select("a", "b"))
+    discard(texts)
+    best = checkpointed(pairs.groupBy("b").agg(F.max(F.struct("agree", "a")).alias("best")).select("best.a", "b"))
+    nodes = _joined(nodes, _verified(df, text_col, _apart(best, nodes)))
+    others = pairs.join(best.withColumnRenamed("a", "tried"), "b").where("a <> tried").select("a", "b")
+    return _joined(nodes, _verified(df, text_col, checkpointed(_apart(others, nodes))))
 
 
 def apply(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -145,9 +163,10 @@ def apply(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     one); columns as in ``df``."""
     kind = df.schema[id_col].dataType.simpleString()
     keyed = df.select(F.col(id_col), F.col(text_col), F.xxhash64(text_col))
-    rows = checkpointed(map_arrow(keyed, _measure, f"id {kind}, key bigint, fp bigint, bands array<bigint>, low binary"))
+    rows = written(map_arrow(keyed, _measure, f"id {kind}, key bigint, fp bigint, bands array<bigint>, low binary"), "measures")
     order = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key"))
     firsts = rows.groupBy("key").agg(order.alias("first")).join(labels(df, text_col, rows), "key")
     stay = checkpointed(firsts.groupBy("label").agg(F.min("first").alias("first")).select("first.id", "first.key"))
-    repeated = rows.groupBy("id", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").take(1)
-    return simhash.only(df, id_col, text_col, stay, bool(repeated))
+    repeated = bool(rows.groupBy("id", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").take(1))
+    discard(rows)
+    return simhash.only(df, id_col, text_col, stay, repeated)

@@ -39,7 +39,7 @@ from .shared import checkpointed, map_arrow
 
 CAPACITY, END = 4096, 1
 CACHE = 1_400_000
-_SLOTS = 22  # bits
+_SLOTS = 21  # bits
 _END_BYTES = END.to_bytes(4, "little")
 
 #: Words whose parts can be told here: no special tokens, combining marks or context-dependent case.
