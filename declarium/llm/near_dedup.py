@@ -11,7 +11,7 @@ bands, and a text reaches its group through the first ones.
 Most comparisons end with the share of equal MinHash values: below 0.64, which is 4.5
 standard deviations under 0.8, the pair is left. The others are verified on the
 whole sets of both texts: each text with the first text it agrees with most, then with
-those of its other first texts that are not in its group by then, so a large group of
+those of its other first texts that it isn't joined to through that one, so a large group of
 near copies isn't verified 26 times over.
 
 Defined results
@@ -101,14 +101,14 @@ def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Columns u, v, a, b to the u and v whose sets a and b are similar: 10 common of 8 in both, in whole numbers."""
+    """Columns a, b, set of a, set of b to the a and b that are similar: 10 common of 8 in both, in whole numbers."""
     for batch in batches:
         good = []
         for i in range(len(batch)):
             a, b = (batch.column(k)[i].values.to_numpy(zero_copy_only=False) for k in (2, 3))
             common = len(np.intersect1d(a, b, assume_unique=True))
             good.append(10 * common >= 8 * (len(a) + len(b) - common))
-        yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(good, pa.bool_())) for k in (0, 1)], ["u", "v"])
+        yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(good, pa.bool_())) for k in (0, 1)], ["a", "b"])
 
 
 def _probable(texts: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -119,43 +119,45 @@ def _probable(texts: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def _verified(df: DataFrame, text_col: str, pairs: DataFrame) -> DataFrame:
-    """(u, v): labels of the ``pairs`` (a, b, u, v) of text keys that are similar."""
+    """The ``pairs`` (a, b) of text keys that are similar."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     rows = df.select(F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text")).join(needed, "key", "left_semi")
     made = written(map_arrow(rows, _sets, "key bigint, shingles array<bigint>"), "shingles")
     sets = made.groupBy("key").agg(F.first("shingles").alias("shingles")) if made.groupBy("key").count().where("count > 1").take(1) else made
     left, right = sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("key").alias("b"), F.col("shingles").alias("y"))
-    out = checkpointed(map_arrow(pairs.join(left, "a").join(right, "b").select("u", "v", "x", "y"), _similar, "u bigint, v bigint"))
+    out = checkpointed(map_arrow(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), _similar, "a bigint, b bigint"))
     discard(made)
     return out
 
 
-def _joined(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """``nodes`` (key, label, …) with the labels of components that the links between labels make."""
-    roots = components(links).withColumnRenamed("node", "label")
-    other = [c for c in nodes.columns if c != "label"]
-    return checkpointed(nodes.join(roots, "label", "left").select(*other, F.coalesce("root", "label").alias("label")))
-
-
-def _apart(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The ``pairs`` (a, b, …) of text keys with different labels, as u and v."""
-    of = lambda key, label: nodes.select(F.col("key").alias(key), F.col("label").alias(label))
-    return pairs.join(of("a", "u"), "a").join(of("b", "v"), "b").where("u <> v")
+def _apart(pairs: DataFrame, of: DataFrame) -> DataFrame:
+    """The ``pairs`` (a, b) of text keys to which ``of`` (key, label) doesn't give one label;
+    a key that it doesn't have is its own label."""
+    x, y = of.withColumnsRenamed({"key": "a", "label": "x"}), of.withColumnsRenamed({"key": "b", "label": "y"})
+    both = pairs.join(x, "a", "left").join(y, "b", "left")
+    return both.where(F.coalesce("x", "a") != F.coalesce("y", "b")).select("a", "b")
 
 
 def labels(df: DataFrame, text_col: str, rows: DataFrame) -> DataFrame:
     """(key, label) of each text: those that a chain of links joins have one label."""
     texts = written(rows.groupBy("key").agg(F.first("fp").alias("label"), F.first("bands").alias("bands"), F.first("low").alias("low")), "bands")
-    nodes = _joined(texts.select("key", "label"), simhash.links(texts.select(F.col("label").alias("fp")).distinct()))
+    nodes = checkpointed(texts.select("key", "label"))
     held = texts.select("key", F.explode("bands").alias("band"))
     firsts = checkpointed(held.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("a")).where("n > 1").select("band", "a"))
     star = held.withColumnRenamed("key", "b").join(firsts, "band").where("a <> b").select("a", "b").distinct()
-    pairs = _probable(texts, _apart(star, nodes).select("a", "b"))
+    pairs = _probable(texts, _apart(star, nodes))
     discard(texts)
     best = checkpointed(pairs.groupBy("b").agg(F.max(F.struct("agree", "a")).alias("best")).select("best.a", "b"))
-    nodes = _joined(nodes, _verified(df, text_col, _apart(best, nodes)))
+    near = _verified(df, text_col, best)
+    # each text's first text or that one's own, so that most pairs of a group are known to be joined
+    up = near.withColumnsRenamed({"a": "up", "b": "a"})
+    known = checkpointed(near.join(up, "a", "left").select(F.col("b").alias("key"), F.coalesce("up", "a").alias("label")))
     others = pairs.join(best.withColumnRenamed("a", "tried"), "b").where("a <> tried").select("a", "b")
-    return _joined(nodes, _verified(df, text_col, checkpointed(_apart(others, nodes))))
+    near = near.unionByName(_verified(df, text_col, checkpointed(_apart(others, known))))
+    of = lambda key, label: nodes.select(F.col("key").alias(key), F.col("label").alias(label))
+    links = near.join(of("a", "u"), "a").join(of("b", "v"), "b").select("u", "v")
+    roots = components(links.unionByName(simhash.links(nodes.select(F.col("label").alias("fp")).distinct()).select("u", "v"))).withColumnRenamed("node", "label")
+    return checkpointed(nodes.join(roots, "label", "left").select("key", F.coalesce("root", "label").alias("label")))
 
 
 def apply(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
