@@ -124,6 +124,7 @@ def _verified(df: DataFrame, text_col: str, pairs: DataFrame) -> DataFrame:
     rows = df.select(F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text")).join(needed, "key", "left_semi")
     made = written(map_arrow(rows, _sets, "key bigint, shingles array<bigint>"), "shingles")
     sets = made.groupBy("key").agg(F.first("shingles").alias("shingles")) if made.groupBy("key").count().where("count > 1").take(1) else made
+    sets = sets.hint("merge")  # as files, sets of like texts are far smaller than as rows to broadcast
     left, right = sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("key").alias("b"), F.col("shingles").alias("y"))
     out = checkpointed(map_arrow(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), _similar, "a bigint, b bigint"))
     discard(made)
@@ -144,7 +145,8 @@ def labels(df: DataFrame, text_col: str, rows: DataFrame) -> DataFrame:
     nodes = checkpointed(texts.select("key", "label"))
     held = texts.select("key", F.explode("bands").alias("band"))
     firsts = checkpointed(held.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("a")).where("n > 1").select("band", "a"))
-    star = held.withColumnRenamed("key", "b").join(firsts, "band").where("a <> b").select("a", "b").distinct()
+    # a merge, as Spark takes the exploded bands for one row a text and would broadcast them
+    star = held.withColumnRenamed("key", "b").join(firsts.hint("merge"), "band").where("a <> b").select("a", "b").distinct()
     pairs = _probable(texts, _apart(star, nodes))
     discard(texts)
     best = checkpointed(pairs.groupBy("b").agg(F.max(F.struct("agree", "a")).alias("best")).select("best.a", "b"))

@@ -98,7 +98,7 @@ def _probes(index: DataFrame) -> DataFrame:
 
 
 def _sparse_links(index: DataFrame, probes: DataFrame) -> DataFrame:
-    found = probes.select(F.col("fp").alias("u"), "j", "seg").join(index.select(F.col("fp").alias("v"), "j", "seg"), ["j", "seg"])
+    found = probes.select(F.col("fp").alias("u"), "j", "seg").join(index.select(F.col("fp").alias("v"), "j", "seg").hint("merge"), ["j", "seg"])
     return found.where((F.col("u") < F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= DISTANCE)).select("u", "v")
 
 
@@ -107,12 +107,15 @@ def _dense_links(index: DataFrame, probes: DataFrame) -> DataFrame:
     kept = named.groupBy("j", "seg", "z").agg(F.min("fp").alias("v"))
     near = F.when(F.col("off") == 0, _masks(DISTANCE - 1)).otherwise(_masks(DISTANCE - 2))
     looked = probes.select("fp", "j", "seg", F.explode(F.transform(near, lambda m: F.col("rest").bitwiseXOR(m))).alias("z"))
-    return looked.join(kept, ["j", "seg", "z"]).where("fp <> v").select(F.col("fp").alias("u"), "v").distinct()
+    return looked.join(kept.hint("merge"), ["j", "seg", "z"]).where("fp <> v").select(F.col("fp").alias("u"), "v").distinct()
 
 
 def links(entries: DataFrame, dense: int = 256) -> DataFrame:
     """(u, v): links between the distinct fingerprints fp of ``entries``, so
-    that two are connected exactly if a chain of distances of 3 or less joins them."""
+    that two are connected exactly if a chain of distances of 3 or less joins them.
+
+    Spark takes exploded rows for as many as they come from, 66 times too few here, and
+    would broadcast them; so their joins are merges, or can build on ``large`` only."""
     index = _segments(entries)
     probes = _probes(index)
     large = index.groupBy("j", "seg").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > dense).select("j", "seg")
@@ -120,7 +123,7 @@ def links(entries: DataFrame, dense: int = 256) -> DataFrame:
     if not large.take(1):
         return _sparse_links(index, probes)
     sparse = _sparse_links(index.join(large, ["j", "seg"], "left_anti"), probes.join(large, ["j", "seg"], "left_anti"))
-    return sparse.unionByName(_dense_links(index.join(large, ["j", "seg"]), probes.join(large, ["j", "seg"])))
+    return sparse.unionByName(_dense_links(index.join(large, ["j", "seg"], "left_semi"), probes.join(large, ["j", "seg"], "left_semi")))
 
 
 def group(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, dense: int = 256) -> DataFrame:

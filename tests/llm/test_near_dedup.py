@@ -5,6 +5,7 @@ from itertools import combinations
 import brute
 import corpus_pipeline
 from pyspark.sql import functions as F
+from test_simhash import broadcast
 
 from declarium.llm import near_dedup
 
@@ -42,6 +43,24 @@ def test_similar_texts_beyond_three_bits(spark):
     assert sorted(r.doc_id for r in got.collect()) == survivors(rows)
 
 
+def test_bands_and_sets_are_not_broadcast(spark):
+    words = [f"w{k}" for k in range(60)]
+    rows = [(k, " ".join([*words[:k], f"new{k}", *words[k + 1 :]])) for k in range(0, 60, 10)]
+    store = spark._jsparkSession.sharedState().statusStore()
+    listed = lambda: list(map((found := store.executionsList()).apply, range(found.size())))
+    spark.conf.set("spark.sql.ui.explainMode", "simple")
+    try:
+        done = max((x.executionId() for x in listed()), default=-1)
+        near_dedup.apply(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        plans = [x.physicalPlanDescription() for x in listed() if x.executionId() > done]
+    finally:
+        spark.conf.unset("spark.sql.ui.explainMode")
+    for column in ("band#", "shingles#"):
+        assert any(column in p for p in plans)
+        assert not [x for p in plans for x in broadcast(p) if column in x]
+
+
 def test_stage_on_all_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     docs = docs.where(F.length("text") > 0)

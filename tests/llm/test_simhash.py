@@ -1,4 +1,5 @@
 import random
+import re
 
 import brute
 from conftest import DOCS
@@ -50,6 +51,29 @@ def test_links_of_dense_and_sparse_keys(spark):
             assert all(groups[y] is groups[x] for y in fps if root(y) == root(x))
 
 
+def broadcast(plan):
+    """The lines of a plan that stand below a broadcast."""
+    below, out = None, []
+    for line in plan.splitlines():
+        depth = len(re.match(r"[\s:+|-]*", line)[0])
+        if below is not None and depth > below:
+            out.append(line)
+        else:
+            below = depth if "BroadcastExchange" in line else None
+    return out
+
+
+def test_exploded_rows_are_not_broadcast(spark):
+    rng = random.Random(6)
+    entries = spark.createDataFrame([((k % 3 << 32) | rng.getrandbits(32),) for k in range(300)], "fp bigint")
+    for dense in (8, 256):
+        found = simhash.links(entries, dense)
+        found.collect()
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Generate explode" in plan
+        assert not [x for x in broadcast(plan) if "Generate" in x]
+
+
 def test_edge_cases(docs, none):
     rows = simhash.group(docs).collect()
     assert len(rows) == len(DOCS)
