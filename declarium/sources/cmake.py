@@ -59,7 +59,9 @@ def lex(text: str) -> list[tuple[str, str, int, int]]:
 def parse_commands(path: str, text: str) -> list[dict]:
     """Every command with the conditions it stands under, outermost first."""
     clean, gates, rows = without_comments(text), [], []
+    line, counted = 1, 0
     for pos, (name, body, start, end) in enumerate(lex(clean)):
+        line, counted = line + clean.count("\n", counted, start), start
         low, args = name.lower(), split_args(body)
         said = " ".join(body.split())
         if low == "if":
@@ -71,7 +73,7 @@ def parse_commands(path: str, text: str) -> list[dict]:
         elif low == "endif" and gates:
             gates.pop()
         near = "FATAL_ERROR" in clean[end : end + 1500]
-        rows.append({"pos": pos, "line": clean.count("\n", 0, start) + 1, "command": low, "args": args, "gates": [g for level in gates for g in level], "fatal_near": near})
+        rows.append({"pos": pos, "line": line, "command": low, "args": args, "gates": [g for level in gates for g in level], "fatal_near": near})
     return rows
 
 

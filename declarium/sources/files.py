@@ -62,18 +62,23 @@ def vendored(files: DataFrame, vendor_roots: tuple[str, ...] = ("third_party", "
     return named.groupBy("repo", "name").agg(F.max_by(F.struct("version", "dir"), key).alias("b")).select("repo", "name", "b.version", "b.dir")
 
 
-def parse(files: DataFrame, function: Callable[[str, str], list[dict]], schema: str) -> DataFrame:
-    """One Python call for each file: (path, text) to rows; repo and path are put in front."""
+def parse(files: DataFrame, function: Callable[[str, str], list[dict]], schema: str, most_rows: int = 10_000) -> DataFrame:
+    """One Python call for each file: (path, text) to rows; repo and path are put in front.
+    A worker holds the rows of one file, and sends at most ``most_rows`` at once."""
     ship(files.sparkSession)
     names = [x.strip().split()[0].strip("`") for x in _top_level(schema)]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out = []
         for frame in frames:
-            out = []
             for repo, path, content in frame[["repo", "path", "content"]].itertuples(index=False):
                 text = bytes(content or b"").decode("utf-8", "replace")
-                out += [{"repo": repo, "path": path, **{n: row.get(n) for n in names}} for row in function(path, text)]
-            yield pd.DataFrame(out, columns=["repo", "path", *names], dtype=object)
+                for row in function(path, text):
+                    out.append((repo, path, *[row.get(n) for n in names]))
+                    if len(out) == most_rows:
+                        yield pd.DataFrame(out, columns=["repo", "path", *names], dtype=object)
+                        out = []
+        yield pd.DataFrame(out, columns=["repo", "path", *names], dtype=object)
 
     return files.select("repo", "path", "content").mapInPandas(run, f"repo string, path string, {schema}")
 

@@ -29,6 +29,27 @@ def test_logical_lines():
     assert requirements.logical_lines(text) == [(2, "a==1", ["sha256:x"]), (5, "b>=2", []), (6, "c", [])]
 
 
+def test_line_numbers_take_one_pass(monkeypatch):
+    counted = []
+
+    class Text(str):
+        def count(self, sub, start=0, end=None):
+            counted.append((len(self) if end is None else end) - start)
+            return str.count(self, sub, start, len(self) if end is None else end)
+
+    text = "# head\n\nset(A 1) set(B 2)\n" + "if(X)\n  set(C\n 3)\nendif()\n" * 50
+    monkeypatch.setattr(cmake, "without_comments", lambda t: Text(t))
+    rows = cmake.parse_commands("CMakeLists.txt", text)
+    assert [r["line"] for r in rows] == [3, 3] + [4 + 4 * i + n for i in range(50) for n in (0, 1, 3)]
+    assert sum(counted) <= len(text)
+
+
+def test_parsed_rows_come_in_pieces(spark):
+    df = table(spark, {f"{i}/CMakeLists.txt": "set(A 1)\n" * i for i in range(5)})
+    pieces = files.parse(df.coalesce(1), cmake.parse_commands, cmake.COMMANDS, most_rows=3)
+    assert sorted((r.path, r.pos) for r in pieces.collect()) == [(f"{i}/CMakeLists.txt", n) for i in range(5) for n in range(i)]
+
+
 def test_requirements_constraints_and_includes(spark):
     df = table(spark, {
         "requirements.txt": "Foo_Bar[x]>=1 ; python_version > '3'\n-r sub/requirements-dev.txt\n-c constraints.txt\n-e git+https://h/x.git#egg=x\nbaz @ https://h/baz.whl\n",
