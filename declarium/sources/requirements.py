@@ -84,7 +84,7 @@ def expand(rows: DataFrame, entries: DataFrame, most_rounds: int = 50) -> DataFr
 def requirements(files: DataFrame) -> DataFrame:
     """Requirements of every file with its own constraints applied: name, specifier,
     constraint, pin. A file that ``-r`` takes in doesn't see its parent's constraints."""
-    rows = lines(files)
+    rows = checkpointed(lines(files))  # read three times, parsed once
     wanted = rows.where("kind IN ('requirement', 'direct_url')").withColumn("name", pep503(F.col("raw")))
     uses = rows.where("kind = 'constraint'").select("repo", "path", F.col("target").alias("c_path")).distinct()
     limits = rows.where("kind = 'requirement'").select("repo", F.col("path").alias("c_path"), pep503(F.col("raw")).alias("name"), F.col("line").alias("c_line"), F.col("specifier").alias("limit"))

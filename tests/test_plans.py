@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from declarium.operators import closure, edges, merge, resolve, scope, subjects
 from declarium.plans import config, emit, reconcile
-from declarium.sources import cmake
+from declarium.sources import cmake, files, requirements
 
 FILES = {
     "CMakeLists.txt": "ExternalProject_Add(external_eigen URL https://h/o/eigen/releases/eigen-5.0.0.tar.gz)\ntarget_link_libraries(app external_eigen unknown_lib)\n",
@@ -33,6 +33,27 @@ def test_reconcile(spark):
     assert {("version_pin_conflict", "numpy"), ("unmapped_link_library", "unknown_lib"), ("license_unresolved", "eigen")} <= codes
 
 
+def test_files_are_parsed_once(spark, tmp_path, monkeypatch):
+    log = str(tmp_path / "calls")
+
+    def told(parse):
+        def run(path, text):
+            with open(log, "a") as f:
+                f.write(path + "\n")
+            return parse(path, text)
+
+        return run
+
+    t = spark.createDataFrame([("r", p, x.encode()) for p, x in FILES.items()], "repo string, path string, content binary")
+    profile = config.Profile()
+    monkeypatch.setattr(requirements, "parse_requirements", told(requirements.parse_requirements))
+    commands = files.parse(t.where("path = 'CMakeLists.txt'"), told(cmake.parse_commands), cmake.COMMANDS)
+    doc = reconcile.reconcile(reconcile.gather([reconcile.from_cmake(t, commands, profile, "app"), reconcile.from_requirements(t, profile, "app")]), config.Config(view="all"), profile)
+    assert emit.elements(doc).count() and doc.warnings.count()
+    with open(log) as f:
+        assert sorted(f.read().split()) == sorted(FILES)
+
+
 def test_release_view_and_emission(spark):
     doc = document(spark, view="release", subjects=("app",))
     assert {r["name"] for r in doc.components.collect()} == {"eigen", "numpy", "scipy"}
